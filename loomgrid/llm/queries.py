@@ -22,8 +22,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
@@ -34,12 +34,12 @@ r AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n >= 2) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(ls) AS BIGINT) AS n_lines,
-         CAST(len(list_filter(ws, w -> list_contains(STOP_LIST, lower(w)))) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(ws, lambda w: list_contains(STOP_LIST, lower(w)))) AS BIGINT) AS n_stop_words
   FROM d LEFT JOIN r USING (doc_id)),
 v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
