@@ -5,13 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import quality_rules
+from loomgrid.llm import packing, quality_rules, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+WORD_BPE, BYTE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
+
+
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.write_and_read(spark, documents(spark, sf_dir), tokenizer_file(WORD_BPE), END_ID)
+
+
+def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = speculative_bpe.encode_decode(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
+    return made.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), tokenizer_file(BYTE_BPE), END_ID, 1024)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(documents(spark, sf_dir))
     return judged.select(
@@ -54,7 +82,10 @@ OP4_SQL = OP4_SQL.replace("STOP_LIST", str(sorted(set(quality_rules.STOP_WORDS))
 
 def queries() -> dict:
     return {
+        "op2_sstable": op2_sstable,
         "op4_quality_rules": op4_quality_rules,
+        "op7_speculative_bpe": op7_speculative_bpe,
+        "op10_best_two_fit": op10_best_two_fit,
     }
 
 
