@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import packing, quality_rules, speculative_bpe, sstable
+from loomgrid.llm import packing, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(spark, documents(spark, sf_dir), 40)
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer_file(BYTE_BPE), END_ID, 1024)
 
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op2_sstable": op2_sstable,
         "op4_quality_rules": op4_quality_rules,
         "op7_speculative_bpe": op7_speculative_bpe,
+        "op9_sampled_splitters": op9_sampled_splitters,
         "op10_best_two_fit": op10_best_two_fit,
     }
 
