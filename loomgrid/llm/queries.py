@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import packing, quality_rules, sharding, speculative_bpe, sstable
+from loomgrid.llm import html_extraction, packing, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
 WORD_BPE, BYTE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
 
+def op1_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(spark, documents(spark, sf_dir), tokenizer_file(WORD_BPE), END_ID)
 
@@ -86,6 +90,7 @@ OP4_SQL = OP4_SQL.replace("STOP_LIST", str(sorted(set(quality_rules.STOP_WORDS))
 
 def queries() -> dict:
     return {
+        "op1_tag_path_ratios": op1_tag_path_ratios,
         "op2_sstable": op2_sstable,
         "op4_quality_rules": op4_quality_rules,
         "op7_speculative_bpe": op7_speculative_bpe,
