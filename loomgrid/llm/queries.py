@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import html_extraction, packing, quality_rules, sharding, speculative_bpe, sstable
+from loomgrid.llm import html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer_file(BYTE_BPE), END_ID, 1024)
 
 
+def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(spark, documents(spark, sf_dir), words=4, percent=80)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(documents(spark, sf_dir))
     return judged.select(
@@ -92,6 +96,7 @@ def queries() -> dict:
     return {
         "op1_tag_path_ratios": op1_tag_path_ratios,
         "op2_sstable": op2_sstable,
+        "op3_bottom_k": op3_bottom_k,
         "op4_quality_rules": op4_quality_rules,
         "op7_speculative_bpe": op7_speculative_bpe,
         "op9_sampled_splitters": op9_sampled_splitters,
