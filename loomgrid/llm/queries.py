@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
+from loomgrid.llm import audio_features, html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(spark, documents(spark, sf_dir), tokenizer_file(WORD_BPE), END_ID)
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio_features.store_and_analyse(spark, documents(spark, sf_dir))
+    return made.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.length("tensors").cast("long").alias("tensor_bytes")
+    )
+
+
 def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = speculative_bpe.encode_decode(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
     return made.select(
@@ -98,6 +105,7 @@ def queries() -> dict:
         "op2_sstable": op2_sstable,
         "op3_bottom_k": op3_bottom_k,
         "op4_quality_rules": op4_quality_rules,
+        "op5_audio_features": op5_audio_features,
         "op7_speculative_bpe": op7_speculative_bpe,
         "op9_sampled_splitters": op9_sampled_splitters,
         "op10_best_two_fit": op10_best_two_fit,
