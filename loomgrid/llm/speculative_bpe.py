@@ -42,7 +42,7 @@ class SpeculativeBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
         self.has_decoder = self.library.decoder is not None
-        self.byte_chars = _byte_chars()
+        self.byte_chars = tokens.byte_chars()
         self.rank: dict[tuple[str, str], int] = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): r for r, m in enumerate(model["merges"])}
         self._index()
         self.words: dict[str, tuple[bytes, str]] = {}
@@ -209,17 +209,6 @@ class SpeculativeBpe:
         return out
 
 
-@lru_cache(1)
-def _byte_chars() -> list[str]:
-    """The printable stand-in of each byte: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, extra = [], 0x100
-    for b in range(256):
-        out.append(chr(b if b in shown else extra))
-        extra += b not in shown
-    return out
-
-
 @lru_cache(4)
 def model(path: str) -> SpeculativeBpe:
     """One model per worker and tokenizer file."""

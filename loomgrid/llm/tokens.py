@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 from itertools import islice
@@ -56,6 +57,29 @@ def is_word_kind(path: str) -> bool:
         return json.load(f)["normalizer"] is not None
 
 
+def byte_chars() -> list[str]:
+    """The printable stand-in of each byte: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, extra = [], 0x100
+    for b in range(256):
+        out.append(chr(b if b in shown else extra))
+        extra += b not in shown
+    return out
+
+
+class Words(dict):
+    """Word to its packed ids; a word that isn't held is encoded by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.chars = model.tokenize, byte_chars()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize("".join([self.chars[b] for b in word.encode()]))]
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class WordwiseEncoder:
     """Encodes texts to ids as little-endian unsigned 32-bit integers."""
 
@@ -67,23 +91,20 @@ class WordwiseEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = is_word_kind(path)
-        self.words: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        self.words = Words(self.tokenizer.model)
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode_one(self, text: str) -> bytes:
+        words = split_words(text, self.lower)
+        if words is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
-        split = [split_words(t, self.lower) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = list(set().union(*[w for w in split if w]) - self.words.keys())
-        self.words.update(zip(new, self._packed(new), strict=True))
-        whole = iter(self._packed([t for t, w in zip(texts, split, strict=True) if w is None]))
-        look = self.words.__getitem__
-        return [next(whole) if w is None else b"".join(map(look, w)) for w in split]
+        return [self.encode_one(t) for t in texts]
 
 
 @lru_cache(4)
