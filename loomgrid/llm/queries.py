@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import audio_features, html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
+from loomgrid.llm import audio_features, compact_windows, html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated(spark, documents(spark, sf_dir))
+
+
 def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = speculative_bpe.encode_decode(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
     return made.select(
@@ -106,6 +110,7 @@ def queries() -> dict:
         "op3_bottom_k": op3_bottom_k,
         "op4_quality_rules": op4_quality_rules,
         "op5_audio_features": op5_audio_features,
+        "op6_compact_windows": op6_compact_windows,
         "op7_speculative_bpe": op7_speculative_bpe,
         "op9_sampled_splitters": op9_sampled_splitters,
         "op10_best_two_fit": op10_best_two_fit,
