@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrid.llm import tokens
-from loomgrid.llm.shared import Workspace
+from loomgrid.llm.shared import Workspace, lookup
 
 #: Rows that one (length, salt) group has on average at most.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 500
 
 
 class Slot(NamedTuple):
@@ -142,10 +142,11 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
     return slots, base
 
 
-def ranked(cut_pieces: DataFrame, n_pieces: int) -> DataFrame:
+def ranked(cut_pieces: DataFrame, histogram: dict[int, int], capacity: int) -> DataFrame:
     """``cut_pieces`` with ``rank``: gapless from 0 among the pieces of one length."""
-    salts = max(1, -(-n_pieces // GROUP_ROWS))
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = [max(1, -(-histogram.get(k, 0) // GROUP_ROWS)) for k in range(capacity + 1)]
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), lookup(salts, F.col("length").cast("int")))
+    salted = cut_pieces.withColumn("salt", salt)
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -165,7 +166,7 @@ def place(spark: SparkSession, cut_pieces: DataFrame, capacity: int) -> DataFram
     )
     # One row per length with its slots in rank order: at most `capacity` rows.
     table = spark.createDataFrame([(k, [s.low for s in v], [s.base for s in v], [s.offset for s in v]) for k, v in by_length.items()], kind)
-    joined = ranked(cut_pieces, sum(histogram.values())).join(F.broadcast(table), "length")
+    joined = ranked(cut_pieces, histogram, capacity).join(F.broadcast(table), "length")
     k = F.size(F.filter("lows", lambda low: low <= F.col("rank"))) - 1
     return joined.withColumn("k", k).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.get("bases", F.col("k")) + F.col("rank") - F.get("lows", F.col("k"))).alias("sequence_id"), F.get("offsets", F.col("k")).alias("offset")

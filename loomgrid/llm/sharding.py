@@ -24,7 +24,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import Workspace
+from loomgrid.llm.shared import Workspace, lookup
 
 #: Bytes that a row counts besides its text (fixed by the contract).
 OVERHEAD = 16
@@ -60,11 +60,6 @@ def range_of(bounds: list[tuple[int, int]]) -> Column:
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + within)
 
 
-def lookup(values: list, at: Column, kind: str = "bigint") -> Column:
-    """``values[at]`` from a literal array."""
-    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), at)
-
-
 def sample(rows: DataFrame, chance: Column, turn: int) -> list[tuple[int, int]]:
     """Keys of the rows that a hash of (key, turn) selects; the same ones in every run."""
     uniform = F.shiftrightunsigned(F.xxhash64("h", "d", F.lit(turn)), 11) / F.lit(2.0**53)

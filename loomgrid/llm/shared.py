@@ -7,11 +7,13 @@ that read them.
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,3 +56,8 @@ class Workspace:
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions that the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def lookup(values: list, at: Column, kind: str = "bigint") -> Column:
+    """``values[at]`` from a literal array of bounded length."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), at)
