@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import audio_features, compact_windows, html_extraction, near_dedup, packing, quality_rules, sharding, speculative_bpe, sstable
+from loomgrid.llm import audio_features, compact_windows, html_extraction, near_dedup, packing, pitman_yor, quality_rules, sharding, speculative_bpe, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(spark, documents(spark, sf_dir))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark, documents(spark, sf_dir), 40)
 
@@ -112,6 +116,7 @@ def queries() -> dict:
         "op5_audio_features": op5_audio_features,
         "op6_compact_windows": op6_compact_windows,
         "op7_speculative_bpe": op7_speculative_bpe,
+        "op8_pitman_yor": op8_pitman_yor,
         "op9_sampled_splitters": op9_sampled_splitters,
         "op10_best_two_fit": op10_best_two_fit,
     }
