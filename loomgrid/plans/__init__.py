@@ -1,9 +1,22 @@
 """Registry of the queries over catalogue, play data and boards, with their SQL."""
 
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgrid.plans import relational
+from loomgrid.sources.analog import CTE, Tables
+
+
+def _run(build, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(Tables(spark, sf_dir))
+
 
 def queries() -> dict:
-    return {}
+    return {name: partial(_run, build) for name, (build, _) in relational.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: CTE + sql for name, (_, sql) in relational.QUERIES.items()}
