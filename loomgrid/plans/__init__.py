@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.plans import answers, boards, relational, writes
+from loomgrid.plans import answers, audits, boards, relational, writes
 from loomgrid.sources.analog import CTE, Tables
 
 
@@ -15,8 +15,8 @@ def _run(build, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: partial(_run, build) for name, (build, _) in (relational.QUERIES | boards.QUERIES | answers.QUERIES | writes.QUERIES).items()}
+    return {name: partial(_run, build) for name, (build, _) in (relational.QUERIES | boards.QUERIES | answers.QUERIES | audits.QUERIES | writes.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: CTE + sql for name, (_, sql) in relational.QUERIES.items()} | {name: sql for name, (_, sql) in (boards.QUERIES | answers.QUERIES | writes.QUERIES).items()}
+    return {name: CTE + sql for name, (_, sql) in relational.QUERIES.items()} | {name: sql for name, (_, sql) in (boards.QUERIES | answers.QUERIES | audits.QUERIES | writes.QUERIES).items()}
