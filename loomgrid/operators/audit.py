@@ -97,3 +97,35 @@ def classified_cells(expected: DataFrame, replies: DataFrame, known: list[str])
     """(board_id, ordinal, kind): every expected cell with its reply; missing and unknown kinds are empty, replies beyond go."""
     kind = F.when(F.col("kind").isin(*known), F.col("kind")).otherwise("empty")
     return expected.join(replies, ["board_id", "ordinal"], "left").select("board_id", "ordinal", F.coalesce(kind, F.lit("empty")).alias("kind"))
+
+
+#: Bits of the directions in which a place is left.
+RIGHT, LEFT, DOWN, UP = 1, 2, 4, 8
+STRAIGHT = (RIGHT | LEFT, DOWN | UP)
+TURNS = (RIGHT | DOWN, RIGHT | UP, LEFT | DOWN, LEFT | UP)
+
+
+def directions(edges: DataFrame) -> DataFrame:
+    """(board_id, r, c, dirs): bits of the directions of drawn edges at every place that has one."""
+    flat = F.col("layer") == "h"
+    one = F.struct(F.col("r").alias("r"), F.col("c").alias("c"), F.when(flat, RIGHT).otherwise(DOWN).alias("d"))
+    two = F.struct(F.when(flat, F.col("r")).otherwise(F.col("r") + 1).alias("r"), F.when(flat, F.col("c") + 1).otherwise(F.col("c")).alias("c"), F.when(flat, LEFT).otherwise(UP).alias("d"))
+    each = edges.filter("v = 1").select("board_id", F.explode(F.array(one, two)).alias("x")).select("board_id", "x.*")
+    return each.groupBy("board_id", "r", "c").agg(F.sum("d").alias("dirs"))
+
+
+def audit_masyu(circles: DataFrame, edges: DataFrame) -> DataFrame:
+    """One loop through all circles (board_id, r, c, v): white (1) straight with a turn next to it, black (2) a turn between straights."""
+    dirs = directions(edges)
+    on = circles.filter("v > 0").join(dirs, ["board_id", "r", "c"], "left").withColumn("dirs", F.coalesce("dirs", F.lit(0)))
+    wrong = on.filter(((F.col("v") == 1) & ~F.col("dirs").isin(*STRAIGHT)) | ((F.col("v") == 2) & ~F.col("dirs").isin(*TURNS)))
+    steps = [(RIGHT, 0, 1), (LEFT, 0, -1), (DOWN, 1, 0), (UP, -1, 0)]
+    near = F.explode(F.array_compact(F.array(*[F.when(F.col("dirs").bitwiseAND(bit) != 0, F.struct((F.col("r") + dr).alias("nr"), (F.col("c") + dc).alias("nc"))) for bit, dr, dc in steps]))).alias("p")
+    beside = on.select("board_id", "r", "c", "v", near).select("board_id", "r", "c", "v", F.col("p.nr").alias("nr"), F.col("p.nc").alias("nc"))
+    other = dirs.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("dirs").alias("nd"))
+    seen = beside.join(other, ["board_id", "nr", "nc"], "left").groupBy("board_id", "r", "c", "v").agg(
+        F.bool_or(F.col("nd").isin(*TURNS)).alias("turn"), F.every(F.coalesce(F.col("nd").isin(*STRAIGHT), F.lit(False))).alias("straight")
+    )
+    lonely = seen.filter(((F.col("v") == 1) & ~F.coalesce("turn", F.lit(False))) | ((F.col("v") == 2) & ~F.col("straight")))
+    return verdict(circles, wrong, lonely, grid.degree_check(edges).filter("not ok"), one_loop(edges))
+

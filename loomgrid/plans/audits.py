@@ -35,6 +35,10 @@ def slitherlink(t: Tables):
     return audit.audit_slitherlink(given, rings(t))
 
 
+#: A black circle in the corner and a white one beside it; wrong ones for some boards.
+CIRCLES = "case when r = 0 and c = 0 then case board_id % 7 when 1 then 1 else 2 end when r = 0 and c = 1 then case board_id % 7 when 2 then 2 else 1 end when r = 0 and c = 2 and board_id % 7 = 3 then 1 else 0 end"
+
+
 def parts(t: Tables):
     shift = F.expr("cast(1 + board_id % 3 as int)")
     one = boards.boards(t).select("board_id", F.lit(0).alias("sub_idx"), F.lit(0).alias("x"), F.lit(0).alias("y"))
@@ -59,6 +63,11 @@ QUERIES = {
         slitherlink,
         "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND NOT (p_partkey % 5 = 0 AND 4 + p_partkey % 4 > 4 AND 4 + p_partkey % 5 > 4) AS passed FROM part",
     ),
+    "audit_masyu": (
+        lambda t: audit.audit_masyu(boards.cells(t, F.expr("4 + board_id % 4"), F.expr("4 + board_id % 5"), CIRCLES), rings(t)),
+        """SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND NOT (p_partkey % 5 = 0 AND m > 4 AND n > 4) AND p_partkey % 7 NOT IN (1, 2) AND NOT (p_partkey % 7 = 3 AND n > 4) AS passed
+           FROM (SELECT p_partkey, 4 + p_partkey % 4 AS m, 4 + p_partkey % 5 AS n FROM part)""",
+    ),
     "audit_summary": (
         lambda t: audit.audit_summary(
             boards.boards(t).select("board_id", F.lit(1).alias("puzzle_type"), (F.col("board_id") % 5 != 0).alias("finished")).unionByName(
