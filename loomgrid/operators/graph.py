@@ -83,3 +83,38 @@ def shortest_path(cells: DataFrame, links: DataFrame, starts: DataFrame) -> Data
         seen = seen.unionByName(front).checkpoint()
     place = F.col("x").bitwiseAND((1 << BITS) - 1)
     return seen.select(F.shiftright("x", BITS).alias("board_id"), F.shiftright(place, 10).cast("int").alias("r"), place.bitwiseAND(1023).cast("int").alias("c"), "distance")
+
+
+def loop_order(edges: DataFrame, starts: DataFrame, most_rounds: int = BITS) -> DataFrame:
+    """(board_id, r, c, position): places along the loop through each board's start, by pointer doubling.
+
+    ``edges`` (board_id, r, c, nr, nc) on which every place has two; ``starts``
+    (board_id, r, c).  A directed edge points to the one that goes on from its
+    end, and the one that comes back to the start points nowhere; pointers and
+    distances double each round.  Of the two ways round the one to the smaller
+    neighbour is taken; loops away from the start are left out.
+    """
+    ensure_checkpoints(edges)
+    one = edges.select(node().alias("a"), node("nr", "nc").alias("b"))
+    arcs = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    start = starts.select(node().alias("s"))
+    onward = arcs.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    on = arcs.join(onward, "b").filter("a <> c").join(start, F.col("b") == F.col("s"), "left")
+    last = F.col("s").isNotNull()
+    state = on.select(
+        "a", "b", F.when(~last, F.col("b")).alias("na"), F.when(~last, F.col("c")).alias("nb"), F.when(last, 0).otherwise(1).alias("d"), F.when(last, F.col("a")).otherwise(F.col("b")).alias("ta"), F.when(last, F.col("b")).otherwise(F.col("c")).alias("tb")
+    ).checkpoint()
+    for _ in range(most_rounds):
+        ahead = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("d").alias("d2"), F.col("ta").alias("ta2"), F.col("tb").alias("tb2"))
+        state = (
+            state.join(ahead, ["na", "nb"], "left")
+            .select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.coalesce("ta2", "ta").alias("ta"), F.coalesce("tb2", "tb").alias("tb"))
+            .checkpoint()
+        )
+        if not state.filter("na is not null").limit(1).count():
+            break
+    ended = state.filter("na is null")
+    first = ended.join(start, F.col("a") == F.col("s")).groupBy("s").agg(F.min(F.struct("b", "d", "ta", "tb")).alias("f"))
+    walk = ended.join(first.select("f.*").withColumnRenamed("d", "whole").drop("b"), ["ta", "tb"])
+    place = F.col("a").bitwiseAND((1 << BITS) - 1)
+    return walk.select(F.shiftright("a", BITS).alias("board_id"), F.shiftright(place, 10).cast("int").alias("r"), place.bitwiseAND(1023).cast("int").alias("c"), (F.col("whole") - F.col("d")).alias("position"))

@@ -85,6 +85,13 @@ def choco_borders(t: Tables):
     return h.unionByName(v)
 
 
+def border(t: Tables):
+    """Steps along the border of each ring board."""
+    every = boards.cells(t, F.expr("4 + board_id % 4"), F.expr("4 + board_id % 5"), "0").drop("v").withColumns({"m": F.expr("4 + board_id % 4"), "n": F.expr("4 + board_id % 5")})
+    flat = every.filter("(r = 0 or r = m - 1) and c < n - 1").select("board_id", "r", "c", F.col("r").alias("nr"), (F.col("c") + 1).alias("nc"))
+    return flat.unionByName(every.filter("(c = 0 or c = n - 1) and r < m - 1").select("board_id", "r", "c", (F.col("r") + 1).alias("nr"), F.col("c").alias("nc")))
+
+
 COMPONENTS = """links AS (SELECT a.board_id, a.r * 1024 + a.c AS x, b.r * 1024 + b.c AS y FROM cells a JOIN cells b ON a.board_id = b.board_id AND a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
 reach AS (SELECT board_id, r * 1024 + c AS x, r * 1024 + c AS y FROM cells UNION SELECT k.board_id, k.x, l.y FROM reach k JOIN links l ON l.board_id = k.board_id AND l.x = k.y)"""
 
@@ -144,6 +151,13 @@ QUERIES |= {
         lambda t: graph.same_value(boards.states(t, SAME)),
         f"WITH RECURSIVE {cell_sql(*STATES, SAME)}, {COMPONENTS} SELECT board_id, CAST(x // 1024 AS INTEGER) AS r, CAST(x % 1024 AS INTEGER) AS c, CAST(min(y) AS INTEGER) AS component FROM reach GROUP BY ALL",
     ),
+    "loop_order": (
+        lambda t: graph.loop_order(border(t), boards.boards(t).select("board_id", F.lit(0).alias("r"), F.lit(0).alias("c"))),
+        """SELECT p_partkey AS board_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
+             CAST(CASE WHEN r = 0 THEN c WHEN c = n - 1 THEN c + r WHEN r = m - 1 THEN n - 1 + m - 1 + n - 1 - c ELSE 2 * (n - 1) + 2 * (m - 1) - r END AS INTEGER) AS position
+           FROM (SELECT p_partkey, 4 + p_partkey % 4 AS m, 4 + p_partkey % 5 AS n FROM part), range(8) a(r), range(9) b(c)
+           WHERE r < m AND c < n AND (r = 0 OR c = 0 OR r = m - 1 OR c = n - 1)""",
+    ),
     "shortest_path": (
         lambda t: graph.shortest_path(
             boards.states(t, SAME), grid.neighbours(boards.states(t, "case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end")).filter("v = 0 and nv = 0"), boards.states(t, "case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end").filter("v = 0").groupBy("board_id").agg(F.min(F.struct("r", "c")).alias("p")).select("board_id", "p.r", "p.c")
