@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest doc_id of each near-duplicate group."""
     linked = near_dedup.link(spark, docs, words=5, percent=80)
     stays = linked.filter("kept").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(stays, "doc_id", "left_semi"))
+    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
