@@ -44,6 +44,9 @@ class Workspace:
         """Write ``df`` and return it as read again, so that lineage ends here."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        # The cleaner removes shuffle files once the driver's heap has dropped
+        # their plan; nothing reads those of a table that is written.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
