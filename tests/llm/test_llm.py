@@ -359,6 +359,25 @@ def test_op6_near_repeats_and_cut(spark):
     assert len(cut[2].text.split()) <= 34 and cut[2].text.endswith("tail end") and cut[2].other_doc_id == "b"
 
 
+def test_op6_matches_short_passages_with_edits_anywhere():
+    from loomgrid.llm import shingles
+
+    rng = np.random.default_rng(7)
+    made = lambda w: shingles.window_hashes(np.asarray(w, np.uint64), 5)
+    for n in (50, 52, 54):
+        for edit in range(n):
+            passage = rng.integers(1, 2**31, n)
+            other = passage.copy()
+            other[edit] = 1
+            x = made(np.concatenate([rng.integers(1, 2**31, 30), passage, rng.integers(1, 2**31, 30)]))
+            y = made(np.concatenate([rng.integers(1, 2**31, 20), other, rng.integers(1, 2**31, 40)]))
+            found = compact_windows.matches(x, y)
+            assert found
+            for a, b, c, d in found:
+                u, v = set(x[a:b].tolist()), set(y[c:d].tolist())
+                assert min(b - a, d - c) >= 46 and 100 * len(u & v) >= 80 * len(u | v)
+
+
 # 8
 
 
