@@ -378,6 +378,23 @@ def test_op6_matches_short_passages_with_edits_anywhere():
                 assert min(b - a, d - c) >= 46 and 100 * len(u & v) >= 80 * len(u | v)
 
 
+def test_op6_compares_what_is_left_with_resolved_members_of_large_lists(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(8):
+        passage = words(rng, 100)
+        near, far = list(passage), list(passage)
+        near[20] = far[20] = f"a{g}"
+        near[60] = far[60] = f"b{g}"
+        far[40], far[80] = f"c{g}", f"d{g}"
+        around = lambda p: " ".join(words(rng, 40) + p + words(rng, 40))  # noqa: E731, B023
+        rows += [(100 * g + k, around(passage)) for k in range(12)] + [(100 * g + 20, around(near)), (100 * g + 21, around(far))]
+    found = compact_windows.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found if not r.kept}
+    assert {100 * g + k for g in range(8) for k in (20, 21)} <= set(got)
+    assert all(got[100 * g + 21].other_doc_id == 100 * g + 20 for g in range(8))
+
+
 # 8
 
 
