@@ -395,6 +395,12 @@ def test_op6_compares_what_is_left_with_resolved_members_of_large_lists(spark):
     assert all(got[100 * g + 21].other_doc_id == 100 * g + 20 for g in range(8))
 
 
+def test_op6_names_the_other_document_of_a_passage_repeated_within_one(spark):
+    links = spark.createDataFrame([(10, 11, 5, 60, 7, 62), (10, 12, 5, 60, 9, 64)], "a long, b long, a_begin int, a_end int, b_begin int, b_end int")
+    parts = spark.createDataFrame([(1, 0, 100, 10), (1, 1024, 100, 11), (2, 0, 100, 12)], "doc_id long, at int, n int, node long")
+    assert {tuple(r) for r in compact_windows.spans(links, parts).collect()} == {(1, 5, 64, 2), (2, 9, 68, 1)}
+
+
 # 8
 
 
