@@ -401,6 +401,28 @@ def test_op6_names_the_other_document_of_a_passage_repeated_within_one(spark):
     assert {tuple(r) for r in compact_windows.spans(links, parts).collect()} == {(1, 5, 64, 2), (2, 9, 68, 1)}
 
 
+def test_op6_recall_at_the_threshold(spark):
+    rng = random.Random(31)
+    rows = []
+    for g in range(300):
+        passage = words(rng, 50)
+        other = list(passage)
+        other[rng.randrange(5, 45)] = f"z{g}"  # 41 of 51 shingles are shared
+        rows += [(2 * g, " ".join(words(rng, 30) + passage)), (2 * g + 1, " ".join(other + words(rng, 30)))]
+    found = compact_windows.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    missed = 600 - len({r.doc_id for r in found})
+    assert missed == 0, missed
+
+
+def test_op6_filter_bounds_the_passage_as_a_whole():
+    s, met = np.arange(1, 121), np.ones(120, bool)
+    met[50:65] = False  # 105 of 120 are shared, but around 57 only 31 of 46
+    sums = compact_windows.scores(s, met)
+    assert all(compact_windows.may_match(sums, c) for c in range(120))
+    met[16:] = False  # a common line
+    assert not any(compact_windows.may_match(compact_windows.scores(s, met), c) for c in range(120))
+
+
 # 8
 
 
