@@ -5,8 +5,9 @@ punctuation are summed per path and divided by the path's number of nodes, both
 ratios are smoothed along the page with a Gaussian, fused to one value per
 node, and paths whose mean value passes a share of the page's standard
 deviation are content paths.  The smallest element that holds nearly all text
-of content paths is the content region; its blocks are the result, without
-those inside page furniture.
+of content paths is the content region.  All blocks of content paths are the
+result, wherever they are, and with them the other blocks of the region;
+nothing inside page furniture is.
 
 Furniture: elements that are never prose (scripts, styles, navigation, forms
 and the like) and containers whose class, id or role says so (menus, notices,
@@ -200,7 +201,7 @@ def extract(page: str | None) -> str:
         # An article as a whole, not one of its parts.
         outer = [i for i in range(at + 1) if elements[above[i]].tag in ("article", "main")]
         region = above[outer[-1] if outer else at]
-    inside = [(n, c) for n, c in zip(live, chosen) if region is None or region in n.above]
+    inside = [(n, c) for n, c in zip(live, chosen) if c or region is None or region in n.above]
     sure = region is not None and elements[region].article
     blocks: dict[int, list[tuple[Node, bool]]] = {}
     for n, c in inside:

@@ -64,6 +64,13 @@ def test_extraction_keeps_the_article_only():
     assert html_extraction.extract(PAGE % plain) == "Head\n\nFirst text, with some words. More, of it.\n\none\n\nLast."
 
 
+def test_extraction_keeps_content_beside_the_region():
+    intro = ["The heading, of it", "First of the words, with marks. Some more.", "Second of the words, with marks. Some more."]
+    rest = [f"Paragraph {k}, with a good many words in it, and marks. It goes on, and on, for a while." for k in range(11)]
+    page = f"<html><body><div class=page><div class=intro><h1>{intro[0]}</h1><p>{intro[1]}</p><p>{intro[2]}</p></div><div class=rest>{''.join(f'<p>{x}</p>' for x in rest)}</div></div></body></html>"
+    assert html_extraction.extract(page).split("\n\n") == [*intro, *rest]
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("<!-- <p>no -->x", "x"), ("<b><i>x</b></i>y", "xy"), ("&lt;p&gt;", "<p>")])
 def test_extraction_of_odd_pages(page, text):
     assert html_extraction.extract(page) == text
