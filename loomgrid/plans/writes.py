@@ -41,17 +41,17 @@ def latest(t: Tables):
     return feeds.stream_latest_snapshot(rows, tables.shared_folder(t.spark, "latest"))
 
 
+def achieved(t: Tables, attempts):
+    """(player, achievement_id) of all definitions, collections included."""
+    whole = stats.completed_collections(membership(t), attempts)
+    return stats.evaluate_achievements(stats.metrics(stats.solved_by_type_difficulty(t.questions, attempts), whole), definitions(t))
+
+
 def unlocks(t: Tables):
     feed = t.spark.readStream.schema(t.read("lineitem").schema).parquet(f"{t.sf_dir}/lineitem*.parquet")
     orders = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player"))
     rows = feed.join(orders, "l_orderkey").select("player", F.col("l_partkey").alias("question"), F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("finished_at"))
-    known = definitions(t).filter("metric <> 'collections'")
-
-    def evaluate(attempts):
-        solved = stats.solved_by_type_difficulty(t.questions, attempts)
-        return stats.evaluate_achievements(stats.metrics(solved, stats.completed_collections(membership(t).limit(0), attempts)), known)
-
-    return feeds.stream_unlocks(rows, evaluate, tables.shared_folder(t.spark, "unlocks"), "player long, question long, finished_at timestamp_ntz")
+    return feeds.stream_unlocks(rows, lambda attempts: achieved(t, attempts), tables.shared_folder(t.spark, "unlocks"), "player long, question long, finished_at timestamp_ntz")
 
 
 QUERIES = {
@@ -97,7 +97,7 @@ QUERIES = {
           LEFT JOIN (SELECT attempt, max(created_at) AS e FROM snapshots WHERE finished GROUP BY ALL) s ON s.attempt = a.id""",
     ),
     "unlock_append": (
-        lambda t: (lambda x: ingest.unlock_append(x.filter("player % 3 = 0"), x.unionByName(x)))(stats.evaluate_achievements(stats.metrics(stats.solved_by_type_difficulty(t.questions, t.attempts), stats.completed_collections(membership(t).limit(0), t.attempts)), definitions(t))),
+        lambda t: (lambda x: ingest.unlock_append(x.filter("player % 3 = 0"), x.unionByName(x)))(achieved(t, t.attempts)),
         CTE + f", {REACHED} SELECT player, achievement_id FROM reached WHERE player % 3 <> 0 AND achievement_id NOT LIKE 'collection%'",
     ),
     "stream_latest_snapshot": (
