@@ -21,39 +21,58 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Removes a query's shuffle files when it is done; nothing reads those of a table that is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder; only a local session that names none gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+    return root if ":/" in root else "file://" + os.path.abspath(root)
 
 
 class Workspace:
-    """A fresh folder below the shared one, for the tables of one run."""
+    """The tables of one run: a database of its own whose place is a fresh folder below the shared one."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark).rstrip('/')}/loomgrid/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.tables = spark, []
+        self.database = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+        self.path = f"{shared_root(spark).rstrip('/')}/loomgrid/{self.database}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}'")
+
+    def _name(self, name: str) -> str:
+        return f"{self.database}.{name.replace('-', '_')}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read again, so that lineage ends here."""
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        # The cleaner removes shuffle files once the driver's heap has dropped
-        # their plan; nothing reads those of a table that is written.
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Delete a table that nothing reads any more (or the whole folder)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.format("parquet").option("compression", "zstd").saveAsTable(self._name(name))
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+        self.tables.append(name)
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(self._name(name))
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE {self._name(name)}")
+            self.tables.remove(name)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the run's result and delete every other table."""
+        out = self.table(df, "result")
+        self.drop(*[t for t in self.tables if t != "result"])
+        return out
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

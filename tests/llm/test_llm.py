@@ -424,10 +424,42 @@ def test_op6_recall_at_the_threshold(spark):
 def test_op6_filter_bounds_the_passage_as_a_whole():
     s, met = np.arange(1, 121), np.ones(120, bool)
     met[50:65] = False  # 105 of 120 are shared, but around 57 only 31 of 46
-    sums = compact_windows.scores(s, met)
-    assert all(compact_windows.may_match(sums, c) for c in range(120))
+    assert compact_windows.shared_around(s, met).all()
     met[16:] = False  # a common line
-    assert not any(compact_windows.may_match(compact_windows.scores(s, met), c) for c in range(120))
+    assert not compact_windows.shared_around(s, met).any()
+    junk = np.concatenate([np.tile(np.arange(100, 105), 12), np.arange(1, 17)])  # five shingles again and again, then a common line
+    assert not compact_windows.shared_around(junk, junk < 100).any()
+
+
+def test_op6_rare_shingles_hold_one_of_every_partner():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        s, df = rng.permutation(400)[:90], rng.integers(1, 50, 90)
+        centre = int(rng.integers(0, 90))
+        rare = set(compact_windows.rare_shingles(s, df, np.array([centre])).tolist())
+        for a in range(max(0, centre - 45), min(centre, 44) + 1):
+            lacks = set(s[a : a + 46][np.argsort(df[a : a + 46], kind="stable")[:6]].tolist())
+            assert {x for x in lacks if df[list(s).index(x)] > 1} <= rare
+
+
+@pytest.mark.parametrize("edits, least", [(3, 0.9), (2, 0.9), (1, 0.9)])
+def test_op6_recall_of_links_in_large_lists(spark, edits, least):
+    """Near copies of passages in lists of 15 nodes: links by brute force over all pairs, and documents with an earlier near copy."""
+    from loomgrid.llm import shingles
+
+    rng, rows = random.Random(edits), []
+    for g in range(10):
+        passage = words(rng, 100)
+        for k in range(15):
+            own = list(passage)
+            for e in range(edits):
+                own[rng.randrange(100)] = f"w{g}-{rng.randrange(4)}"
+            rows.append((100 * g + k, " ".join(words(rng, 30) + own + words(rng, 30))))
+    text = {k: compact_windows.unpacked(shingles.word_hashes(t).astype(np.uint32).tobytes()) for k, t in rows}
+    linked = {(a, b) for a in text for b in text if a // 100 == b // 100 and a < b and compact_windows.matches(text[a], text[b])}
+    wanted = {b for _, b in linked}
+    got = {r.doc_id for r in compact_windows.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.kept}
+    assert got <= wanted and len(got & wanted) >= least * len(wanted)
 
 
 # 8
