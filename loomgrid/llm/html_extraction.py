@@ -6,15 +6,19 @@ ratios are smoothed along the page with a Gaussian, fused to one value per
 node, and paths whose mean value passes a share of the page's standard
 deviation are content paths.  The smallest element that holds nearly all text
 of content paths is the content region.  All blocks of content paths are the
-result, wherever they are, and with them the other blocks of the region;
-nothing inside page furniture is.
+result, wherever they are, and with them the other blocks of the region, unless
+links are most of them; nothing inside page furniture is.
+
 
 Furniture: elements that are never prose (scripts, styles, navigation, forms
-and the like) and containers whose class, id or role says so (menus, notices,
-adverts, reader comments and the like).
+and the like), containers whose class, id or role says so (menus, notices,
+adverts, reader comments and the like), and paragraphs named as notices or
+adverts.  Headings and block quotations are prose whatever their names.
 
 A null or empty page gives the empty text.  Pages are read whole, whatever
-their length; unclosed, misnested and unknown tags are tolerated.  Repeated
+their length, in one pass that is linear in it; unclosed, misnested and unknown
+tags are tolerated, and quotes delimit an attribute's value only where it
+begins.  Repeated
 rows give repeated results; an empty table gives an empty one; extra columns
 stay as they are unless they are named like a result column, which replaces
 them.
@@ -60,28 +64,42 @@ _NAMED = re.compile(
 )
 _KEPT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)[\s_-]*(?:content|body|text|header)?(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What makes a single paragraph furniture.
+_NOTICE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|newsletter|subscri\w+|paywall|share|sharing|related|comments?|pagination|pager)(?:$|[\s_-])",
+    re.I,
+)
+_ADVERT = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsored)(?:$|\s)", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>", re.S)
+_ATTR = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？¿¡]")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 class Node(NamedTuple):
-    """A text node: its path, the elements above it, its block, whether links hold it."""
+    """A text node: number of its tag path, number of the element around it, its block, whether furniture or links hold it."""
 
     text: str
-    path: str
-    above: tuple[int, ...]
+    path: int
+    parent: int
     block: int
     furniture: bool
     linked: bool
 
 
 class Element(NamedTuple):
+    """Number of the parent (always a smaller one), and what holds for all that is inside."""
+
     tag: str
-    number: int
+    parent: int
+    depth: int
+    path: int
     furniture: bool
     article: bool
+    linked: bool
 
 
 def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -89,48 +107,63 @@ def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
         return True
     if tag == "header":
         return not inside_article
-    if not attrs or tag in ("html", "body"):
+    if tag in ("html", "body") or not _TELLING.search(attrs):
         return False
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
         return True
     if found.get("role", "").lower() in _ROLES:
         return True
-    if tag in ("article", "main"):
-        return bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{found.get('class', '')} {found.get('id', '')}", re.I))
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(_NAMED.search(names)) and not _KEPT.fullmatch(found.get("class", "")) and tag not in HEADINGS | {"p"} or bool(re.search(r"(?:^|\s)(?:ads?|advert\w*|sponsored)(?:$|\s)", names, re.I))
+    if tag in ("article", "main"):
+        return bool(_COMMENTS.search(names))
+    if _ADVERT.search(names):
+        return True
+    if tag in HEADINGS or tag == "blockquote":
+        return False
+    if tag == "p":
+        return bool(_NOTICE.search(names))
+    return bool(_NAMED.search(names)) and not _KEPT.fullmatch(found.get("class", ""))
 
 
-def parse(page: str) -> tuple[list[Node], dict[int, Element]]:
-    """Text nodes in page order, and all elements by number."""
+def parse(page: str) -> tuple[list[Node], list[Element]]:
+    """Text nodes in page order, and all elements by number; 0 is the page itself."""
     nodes: list[Node] = []
-    elements: dict[int, Element] = {}
-    stack: list[Element] = []
-    at = block = number = 0
+    elements = [Element("", 0, 0, 0, False, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    stack = [0]  # numbers of open elements
+    scopes = [0]  # places in the stack of elements that implied ends don't cross
+    places: dict[str, list[int]] = {}  # tag: its places in the stack
+    at = block = 0
 
     def text(raw: str) -> None:
         if raw:
-            nodes.append(
-                Node(html.unescape(raw), "/".join([e.tag for e in stack]), tuple([e.number for e in stack]), block, any(e.furniture for e in stack), any(e.tag == "a" for e in stack))
-            )
+            top = elements[stack[-1]]
+            nodes.append(Node(html.unescape(raw), top.path, stack[-1], block, top.furniture, top.linked))
 
     def close_to(k: int) -> None:
         nonlocal block
-        if any(e.tag not in INLINE for e in stack[k:]):
-            block += 1
-        del stack[k:]
+        while len(stack) > k:
+            tag = elements[stack.pop()].tag
+            places[tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+            if tag not in INLINE:
+                block += 1
 
-    while m := _TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # what begins later is no tag
+    while m := _TOKEN.search(page, at, last):
         text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        held = places.get(tag)
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if k is not None and not (tag in INLINE and any(e.tag in SCOPE for e in stack[k + 1 :])):
-                close_to(k)
+            if held and not (tag in INLINE and scopes[-1] > held[-1]):
+                close_to(held[-1])
             elif tag == "p":
                 block += 1
             continue
@@ -139,22 +172,24 @@ def parse(page: str) -> tuple[list[Node], dict[int, Element]]:
             continue
         if tag not in INLINE:
             block += 1
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                close_to(i)
-            elif stack[i].tag in SCOPE or (tag in ("li", "dt", "dd") and stack[i].tag in ("ul", "ol", "dl")):
-                break
+        ends = CLOSES.get(tag, ())
+        while (k := max([places[t][-1] for t in ends if places.get(t)], default=0)) and k >= scopes[-1]:
+            close_to(k)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math", "path"):
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        number += 1
-        inside = any(e.article for e in stack)
-        stack.append(Element(tag, number, _furniture(tag, m[3], inside), inside or tag in ("article", "main")))
-        elements[number] = stack[-1]
-    text(page[at:])
+        above = elements[stack[-1]]
+        path = paths.setdefault((above.path, tag), len(paths) + 1)
+        furniture = above.furniture or _furniture(tag, m[3], above.article)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        elements.append(Element(tag, stack[-1], above.depth + 1, path, furniture, above.article or tag in ("article", "main"), above.linked or tag == "a"))
+        stack.append(len(elements) - 1)
+    text(page[at:].partition("<!--")[0])
     return nodes, elements
 
 
@@ -180,29 +215,27 @@ def extract(page: str | None) -> str:
     if not live:
         return ""
     value = path_values(live)
-    # An article element tells what is content better than any ratio.
-    value = value * np.where([any(elements[k].tag in ("article", "main") for k in n.above) for n in live], 4.0, 1.0)
     chosen = value >= min(THRESHOLD * value.std(), value.max())
-    size = {k: 0 for n in live for k in n.above}
-    chain = {k: n.above[: i + 1] for n in live for i, k in enumerate(n.above)}  # from the root down to the element
-    total = 0
+    size = [0] * len(elements)
     for n, c in zip(live, chosen):
         if c:
-            total += len(n.text)
-            for k in n.above:
-                size[k] += len(n.text)
-    holders = [k for k in size if size[k] >= COVER * total]
-    region = max(holders, key=lambda k: (len(chain[k]), -k), default=None)
-    if region is not None:
-        # A single paragraph never is the region: what holds it is.
-        above, at = chain[region], len(chain[region]) - 1
-        while at and elements[above[at]].tag in PARTS:
-            at -= 1
-        # An article as a whole, not one of its parts.
-        outer = [i for i in range(at + 1) if elements[above[i]].tag in ("article", "main")]
-        region = above[outer[-1] if outer else at]
-    inside = [(n, c) for n, c in zip(live, chosen) if c or region is None or region in n.above]
-    sure = region is not None and elements[region].article
+            size[n.parent] += len(n.text)
+    for k in range(len(elements) - 1, 0, -1):  # a parent's number is smaller
+        size[elements[k].parent] += size[k]
+    region = max((k for k in range(len(elements)) if size[k] >= COVER * size[0]), key=lambda k: (elements[k].depth, -k))
+    # A single paragraph never is the region: what holds it is.
+    while elements[region].tag in PARTS:
+        region = elements[region].parent
+    # An article as a whole, not one of its parts.
+    k = region
+    while k:
+        if elements[k].tag in ("article", "main"):
+            region = k
+        k = elements[k].parent
+    within = [k == region for k in range(len(elements))]
+    for k in range(1, len(elements)):
+        within[k] |= within[elements[k].parent]
+    inside = [(n, c) for n, c in zip(live, chosen) if c or within[n.parent]]
     blocks: dict[int, list[tuple[Node, bool]]] = {}
     for n, c in inside:
         blocks.setdefault(n.block, []).append((n, c))
@@ -214,7 +247,7 @@ def extract(page: str | None) -> str:
     for k, own in blocks.items():
         chars = sum(len(n.text.strip()) for n, _ in own)
         links = sum(len(n.text.strip()) for n, _ in own if n.linked)
-        if sure or any(c for _, c in own) or links * 2 <= chars:
+        if any(c for _, c in own) or links * 2 <= chars:
             out.append(" ".join("".join(spaces[k]).split()))
     return "\n\n".join(x for x in out if x)
 

@@ -76,6 +76,44 @@ def test_extraction_of_odd_pages(page, text):
     assert html_extraction.extract(page) == text
 
 
+def test_extraction_reads_attributes_as_browsers_do():
+    page = """<p title=it's>Hello there, friend.</p><p data-class=notice id=a"b>World isn't flat.</p><p class = 'x>y' lang="a'b">Third, too.</p>"""
+    assert html_extraction.extract(page) == "Hello there, friend.\n\nWorld isn't flat.\n\nThird, too."
+
+
+def test_extraction_drops_notices_wherever_they_stand():
+    for around in ("<article>%s</article>", "<div>%s</div>", "%s"):
+        page = around % """<p>Some text, here it is. And more, of it.</p><p class="cookie notice">We use them, all.</p><section class="alert"><p>Mind, this. Now.</p></section>
+        <blockquote class="comment">Quoted, as it was.</blockquote><div id="comments"><p>Nice, really. Thanks!</p></div><p>The last, of all. It ends.</p>"""
+        assert html_extraction.extract(page).split("\n\n") == ["Some text, here it is. And more, of it.", "Quoted, as it was.", "The last, of all. It ends."]
+
+
+@pytest.mark.parametrize("junk", ["<div>text, x. " * 100_000, "<b>" * 50_000 + "<p>x, y.</p>" * 20_000, "<b>" * 30_000 + "<div>a</b>" * 30_000, "<td>x" * 30_000 + "<tr>" * 30_000, "<a " * 100_000])
+def test_extraction_takes_time_in_proportion(junk):
+    from time import monotonic
+
+    begin = monotonic()
+    assert html_extraction.extract(junk)
+    assert monotonic() - begin < 20
+
+
+def test_extraction_ratios_against_the_definition():
+    """Sums per path over all nodes, a Gaussian over seven neighbours, their fusion and the path's mean, written out."""
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab ,.") for _ in range(rng.randrange(1, 40))) + "x" for _ in range(rng.randrange(1, 25))]
+        paths = [rng.randrange(5) for _ in texts]
+        nodes = [html_extraction.Node(t, p, 0, 0, False, False) for t, p in zip(texts, paths)]
+        ratio = lambda of: [sum(of(t) for t, q in zip(texts, paths) if q == p) / paths.count(p) for p in paths]  # noqa: E731, B023
+        both = [ratio(lambda t: len(t.strip())), ratio(lambda t: sum(c in ",." for c in t))]
+        weights = [np.exp(-(k**2) / 2) for k in range(-3, 4)]
+        n = len(texts)
+        smooth = [[sum(w * x[min(n - 1, max(0, i + k))] for w, k in zip(weights, range(-3, 4))) / sum(weights) for i in range(n)] for x in both]
+        fused = [a * (1 + b) for a, b in zip(*smooth)]
+        want = [sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths]
+        assert np.allclose(html_extraction.path_values(nodes), want)
+
+
 def test_extraction_table(spark):
     rows = [(1, "u", PAGE % "<article><p>Text, it is.</p></article>", "clash"), (1, "u", PAGE % "<article><p>Text, it is.</p></article>", "clash"), (None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
