@@ -125,9 +125,9 @@ def metrics(text: Column) -> dict[str, Column]:
     }
 
 
-def broken(rule: Rule) -> Column:
-    left = F.col(rule.num) * rule.scale
-    right = F.lit(rule.bound) if rule.den == "one" else F.col(rule.den) * rule.bound
+def broken(rule: Rule, named=F.col) -> Column:
+    left = named(rule.num) * rule.scale
+    right = F.lit(rule.bound) if rule.den == "one" else named(rule.den) * rule.bound
     return left < right if rule.op == "<" else left > right
 
 
@@ -145,3 +145,20 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     names = F.filter(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     judged = flat.select("*", base.alias("base_failed"), names.alias("broken"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their own columns, whatever those are called.
+
+    The metrics are generated as one struct, since a filter on projected
+    metrics is pushed down and computes each of them once per rule.
+    """
+    made, name = metrics(F.col(text)), "quality"
+    while name in docs.columns:
+        name += "_"
+    place = {"n_words": "by_word.n_words", "n_repeat_words": "by_word.n_repeat_words", "n_stop_words": "by_word.n_stop_words", "n_lines": "by_line.n_lines", "n_dup_lines": "by_line.n_dup_lines"}
+    measured = docs.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias(name))
+    bad = F.lit(False)
+    for rule in (*BASE, *rules):
+        bad = bad | broken(rule, lambda k: F.col(f"{name}.{place.get(k, k)}"))
+    return measured.filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
