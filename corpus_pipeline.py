@@ -19,14 +19,14 @@ from loomgrid.llm.shared import Workspace
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table doesn't reject."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate group."""
+    """The document of the smallest doc_id of each near-duplicate group; repeated rows go, rows of one doc_id with different texts are one document."""
     linked = near_dedup.link(spark, docs, words=5, percent=80)
     stays = linked.filter("kept").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
