@@ -9,7 +9,6 @@ of content paths is the content region.  All blocks of content paths are the
 result, wherever they are, and with them the other blocks of the region, unless
 links are most of them; nothing inside page furniture is.
 
-
 Furniture: elements that are never prose (scripts, styles, navigation, forms
 and the like), containers whose class, id or role says so (menus, notices,
 adverts, reader comments and the like), and paragraphs named as notices or
