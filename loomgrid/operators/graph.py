@@ -18,7 +18,9 @@ def ensure_checkpoints(df: DataFrame) -> None:
 
 
 def node(r: str = "r", c: str = "c", board: str = "board_id"):
-    return F.shiftleft(F.col(board).cast("long"), BITS) + F.col(r) * 1024 + F.col(c)
+    """Number of a place; one beyond 1024 rows or columns is an error, as it would be another's."""
+    inside = F.col(r).between(0, 1023) & F.col(c).between(0, 1023)
+    return F.when(inside | F.col(r).isNull() | F.col(c).isNull(), F.shiftleft(F.col(board).cast("long"), BITS) + F.col(r) * 1024 + F.col(c)).otherwise(F.raise_error(F.lit("a board has more than 1024 rows or columns")).cast("long"))
 
 
 def connected_components(cells: DataFrame, links: DataFrame) -> DataFrame:
@@ -71,16 +73,21 @@ def progress_double_choco(cells: DataFrame, borders: DataFrame) -> DataFrame:
 
 
 def shortest_path(cells: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(board_id, r, c, distance): breadth-first distances from the start of each board, level by level."""
+    """(board_id, r, c, distance): breadth-first distances from the start of each board, level by level.
+
+    Neighbours of a level are in it or in one of the two beside it, so that a
+    new level is compared with the last two only, and each place is written once.
+    """
     ensure_checkpoints(cells)
     one = links.select(node().alias("x"), node("nr", "nc").alias("y"))
     both = one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     front = starts.select(node().alias("x")).withColumn("distance", F.lit(0)).checkpoint()
-    seen = front
+    seen, last = front, front.limit(0)
     while front.limit(1).count():
         step = front.join(both, "x").select(F.col("y").alias("x"), (F.col("distance") + 1).alias("distance")).distinct()
-        front = step.join(seen.select("x"), "x", "left_anti").checkpoint()
-        seen = seen.unionByName(front).checkpoint()
+        near = last.select("x").unionByName(front.select("x"))
+        last, front = front, step.join(near, "x", "left_anti").checkpoint()
+        seen = seen.unionByName(front)
     place = F.col("x").bitwiseAND((1 << BITS) - 1)
     return seen.select(F.shiftright("x", BITS).alias("board_id"), F.shiftright(place, 10).cast("int").alias("r"), place.bitwiseAND(1023).cast("int").alias("c"), "distance")
 

@@ -79,18 +79,18 @@ def first_paths(cells: DataFrame, links: DataFrame, starts: DataFrame, goals: Da
     both = one.unionByName(one.select("board_id", F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("nr"), F.col("c").alias("nc"))).distinct().checkpoint()
     place = F.struct("r", "c")
     front = starts.select(*PLACE, F.lit(0).alias("rank"), F.array(place).alias("path")).checkpoint()
-    seen, done = front.select(*PLACE), None
+    last, done = front.limit(0), None  # neighbours of a level are in it or in one of the two beside it
     while True:
         hit = front.join(goals.select(*PLACE), PLACE, "left_semi").select("board_id", "path")
         done = (hit if done is None else done.unionByName(hit)).checkpoint()
-        step = front.join(done.select("board_id"), "board_id", "left_anti").join(both, PLACE).join(seen.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["board_id", "nr", "nc"], "left_anti")
+        near = last.select(*PLACE).unionByName(front.select(*PLACE))
+        step = front.join(done.select("board_id"), "board_id", "left_anti").join(both, PLACE).join(near.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["board_id", "nr", "nc"], "left_anti")
         way = F.when(F.col("nr") < F.col("r"), 0).when(F.col("nr") > F.col("r"), 1).when(F.col("nc") < F.col("c"), 2).otherwise(3)
-        near = step.groupBy("board_id", F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.min(F.struct("rank", way.alias("way"))).alias("k"), F.min_by("path", F.struct("rank", way.alias("way"))).alias("path"))
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("board_id").orderBy("k")))
-        front = ranked.select(*PLACE, "rank", F.concat("path", F.array(place)).alias("path")).checkpoint()
+        met = step.groupBy("board_id", F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.min(F.struct("rank", way.alias("way"))).alias("k"), F.min_by("path", F.struct("rank", way.alias("way"))).alias("path"))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("board_id").orderBy("k")))
+        last, front = front, ranked.select(*PLACE, "rank", F.concat("path", F.array(place)).alias("path")).checkpoint()
         if not front.limit(1).count():
             return done
-        seen = seen.unionByName(front.select(*PLACE)).checkpoint()
 
 
 def audit_nurimaze(cells: DataFrame, borders: DataFrame, rooms: DataFrame) -> DataFrame:

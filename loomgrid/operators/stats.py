@@ -46,19 +46,18 @@ def question_stats(players: DataFrame, types: DataFrame, questions: DataFrame, a
     )
 
 
-def collection_stats(types: DataFrame, collections: DataFrame, questions: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Questions and solved ones per player, collection and type, for players with a solve in the collection."""
+def collection_stats(players: DataFrame, types: DataFrame, collections: DataFrame, questions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Questions and solved ones per player, collection and type, also where nothing was solved."""
     inside = questions.filter("src_collection is not null").select(F.col("id").alias("question"), "src_collection", "puzzle_type")
-    totals = inside.groupBy("src_collection", "puzzle_type").agg(F.count("*").alias("total"))
-    solved = question_flags(attempts).filter("done").join(inside, "question").groupBy("player", "src_collection", "puzzle_type").agg(F.count("*").alias("solved"))
-    active = solved.select("player", "src_collection").distinct()
     names = collections.select(F.col("id").alias("src_collection"), F.col("name").alias("collection_name"))
     kinds = types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))
+    totals = inside.groupBy("src_collection", "puzzle_type").agg(F.count("*").alias("total")).join(names, "src_collection").join(kinds, "puzzle_type")
+    solved = question_flags(attempts).filter("done").join(inside, "question").groupBy("player", "src_collection", "puzzle_type").agg(F.count("*").alias("solved"))
+    # As many rows as the result has.
     return (
-        active.join(totals, "src_collection")
+        players.select(F.col("id").alias("player"))
+        .crossJoin(totals)
         .join(solved, ["player", "src_collection", "puzzle_type"], "left")
-        .join(names, "src_collection")
-        .join(F.broadcast(kinds), "puzzle_type")
         .select("player", F.col("src_collection").alias("collection_id"), "collection_name", F.col("puzzle_type").alias("type_id"), "type_name", "total", F.coalesce("solved", F.lit(0).cast("long")).alias("solved"))
     )
 

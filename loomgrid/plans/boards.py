@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators import grid, quality
@@ -59,8 +62,13 @@ def clues(t: Tables):
 
 
 def relation(t: Tables):
+    """All foreign keys, against parents of which some are missing."""
     few = t.questions.filter("id % 50 <> 3")
-    return quality.fk_check(t.attempts, "question", few, "attempt.question").unionByName(quality.fk_check(t.questions, "src_collection", t.collections.filter("id <> 4"), "question.src_collection"))
+    checks = (
+        (t.attempts, "question", few, "attempt.question"), (t.questions, "src_collection", t.collections.filter("id <> 4"), "question.src_collection"), (t.attempts, "player", t.players.filter("id % 9 <> 2"), "attempt.player"),
+        (t.questions, "puzzle_type", t.types.filter("id <> 3"), "question.puzzle_type"), (t.snapshots, "attempt", t.attempt_list, "snapshot.attempt"),
+    )
+    return reduce(DataFrame.unionByName, [quality.fk_check(*x) for x in checks])
 
 
 QUERIES = {f"validate_{k.replace('-', '_').replace('combo_sudoku', 'combo')}": (validated(k), verdict_sql(k)) for k in quality.KINDS.values()}
@@ -72,19 +80,18 @@ QUERIES |= {
     "validate_shape": (
         lambda t: boards.documents(t, "nurimaze")
         .select("board_id", F.from_json("canon", f"cells {quality.GRID}, grids struct<h:{quality.GRID},v:{quality.GRID}>").alias("d"))
-        .select("board_id", F.array_join(quality.validate_shape(F.when(F.col("board_id") % 3 == 0, F.slice("d.cells", 1, 1)).otherwise(F.col("d.cells")), F.col("d.grids.h"), F.col("d.grids.v")), ",").alias("reasons"))
-        .filter("board_id % 7 not in (2, 4)"),
-        "SELECT p_partkey AS board_id, CASE WHEN p_partkey % 3 = 0 THEN 'small,h,v' ELSE '' END AS reasons FROM part WHERE p_partkey % 7 NOT IN (2, 4)",
+        .select("board_id", F.array_join(quality.validate_shape(F.when(F.col("board_id") % 3 == 0, F.slice("d.cells", 1, 1)).otherwise(F.col("d.cells")), F.col("d.grids.h"), F.col("d.grids.v")), ",").alias("reasons")),
+        "SELECT p_partkey AS board_id, CASE WHEN p_partkey % 7 IN (2, 4) THEN 'ragged,h,v' WHEN p_partkey % 3 = 0 THEN 'small,h,v' ELSE '' END AS reasons FROM part",
     ),
     "derive_dimensions": (
-        lambda t: boards.documents(t, "combo-sudoku").filter("board_id % 7 not in (2, 4)")
-        .unionByName(boards.documents(t, "nonogram").filter("board_id % 7 not in (2, 4)").withColumn("board_id", F.col("board_id") + 1_000_000_000))
+        lambda t: boards.documents(t, "combo-sudoku")
+        .unionByName(boards.documents(t, "nonogram").withColumn("board_id", F.col("board_id") + 1_000_000_000))
         .select("board_id", quality.derive_dimensions(F.replace("canon", F.lit('"x":0'), F.concat(F.lit('"x":'), F.col("board_id") % 5))).alias("d")).select("board_id", "d.*"),
-        """SELECT p_partkey AS board_id, CAST(p_partkey % 5 + 9 AS INTEGER) AS width, 9 AS height, CAST(3 * (p_partkey % 5) + 9 AS INTEGER) AS width_cells FROM part WHERE p_partkey % 7 NOT IN (2, 4)
-           UNION ALL SELECT p_partkey + 1000000000, 2, 2, 2 FROM part WHERE p_partkey % 7 NOT IN (2, 4)""",
+        """SELECT p_partkey AS board_id, CASE WHEN p_partkey % 7 <> 2 THEN CAST(p_partkey % 5 + 9 AS INTEGER) END AS width, CASE WHEN p_partkey % 7 <> 2 THEN 9 END AS height, CASE WHEN p_partkey % 7 <> 2 THEN CAST(3 * (p_partkey % 5) + 9 AS INTEGER) END AS width_cells FROM part
+           UNION ALL SELECT p_partkey + 1000000000, CASE WHEN p_partkey % 7 NOT IN (2, 4) THEN 2 END, 2, CASE WHEN p_partkey % 7 NOT IN (2, 4) THEN 2 END FROM part""",
     ),
     "explode_board": (
-        lambda t: grid.explode_cells(boards.documents(t, "sudoku").filter("board_id % 7 not in (2, 4)").select("board_id", F.from_json("canon", f"hints {quality.GRID}")["hints"].alias("g")), "g"),
+        lambda t: grid.explode_cells(boards.documents(t, "sudoku").select("board_id", F.from_json("canon", f"hints {quality.GRID}")["hints"].alias("g")), "g"),
         f"""SELECT p_partkey AS board_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(CASE WHEN c < 8 THEN 0 WHEN p_partkey % 7 = 5 THEN 1.5 ELSE {boards.VALUE_OF.replace('board_id', 'p_partkey')} END AS DOUBLE) AS v
            FROM part, range(9) x(r), range(9) y(c) WHERE p_partkey % 7 NOT IN (2, 4)""",
     ),
@@ -95,7 +102,10 @@ QUERIES |= {
     "fk_check": (
         relation,
         CTE + """SELECT 'attempt.question' AS relation, question AS key, count(*) AS n FROM attempts WHERE question NOT IN (SELECT id FROM questions WHERE id % 50 <> 3) GROUP BY ALL
-           UNION ALL SELECT 'question.src_collection', src_collection, count(*) FROM questions WHERE src_collection NOT IN (SELECT id FROM collections WHERE id <> 4) GROUP BY ALL""",
+           UNION ALL SELECT 'question.src_collection', src_collection, count(*) FROM questions WHERE src_collection NOT IN (SELECT id FROM collections WHERE id <> 4) GROUP BY ALL
+           UNION ALL SELECT 'attempt.player', player, count(*) FROM attempts WHERE player NOT IN (SELECT id FROM players WHERE id % 9 <> 2) GROUP BY ALL
+           UNION ALL SELECT 'question.puzzle_type', puzzle_type, count(*) FROM questions WHERE puzzle_type NOT IN (SELECT id FROM types WHERE id <> 3) GROUP BY ALL
+           UNION ALL SELECT 'snapshot.attempt', attempt, count(*) FROM snapshots WHERE attempt NOT IN (SELECT id FROM attempt_list) GROUP BY ALL""",
     ),
     "unique_check": (
         lambda t: quality.unique_check(t.attempts, ["player", "question"]),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +78,12 @@ def odd_questions(t: Tables) -> DataFrame:
     return t.questions.filter("difficulty >= 4").select(F.col("id").alias("question"))
 
 
+SCANNED = ("types", "collections", "players", "questions", "attempts", "attempt_list", "snapshots")
+
 QUERIES = {
     "scan_tables": (
-        lambda t: t.attempt_list.select(F.lit("attempt_list").alias("name")).groupBy("name").count().withColumnRenamed("count", "n").unionByName(
-            t.snapshots.select(F.lit("snapshots").alias("name")).groupBy("name").count().withColumnRenamed("count", "n")
-        ).unionByName(t.questions.select(F.lit("questions").alias("name")).groupBy("name").count().withColumnRenamed("count", "n")),
-        "SELECT 'attempt_list' AS name, count(*) AS n FROM attempt_list UNION ALL SELECT 'snapshots', count(*) FROM snapshots UNION ALL SELECT 'questions', count(*) FROM questions",
+        lambda t: reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("name")).groupBy("name").count().withColumnRenamed("count", "n") for n in SCANNED]),
+        " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in SCANNED),
     ),
     "puzzle_view": (view, VIEW),
     "camel_columns": (
@@ -116,8 +118,8 @@ QUERIES = {
         "SELECT q.id, c.name AS collection_name, c.cover_src FROM questions q LEFT JOIN collections c ON c.id = q.src_collection",
     ),
     "left_join_on_filtered": (
-        lambda t: t.questions.select("id").join(t.attempts.filter("finished_at is not null and player % 100 = 7").select(F.col("question").alias("id"), "player"), "id", "left"),
-        "SELECT q.id, a.player FROM questions q LEFT JOIN attempts a ON a.question = q.id AND a.player % 100 = 7 AND a.finished_at IS NOT NULL",
+        lambda t: t.questions.select("id").join(t.attempts.filter("finished_at is not null").select(F.col("question").alias("id"), "player"), "id", "left"),
+        "SELECT q.id, a.player FROM questions q LEFT JOIN attempts a ON a.question = q.id AND a.finished_at IS NOT NULL",
     ),
     "solved_exists": (
         lambda t: stats.question_flags(t.attempts).groupBy("player").agg(F.count_if("done").alias("solved")),
@@ -153,22 +155,20 @@ QUERIES = {
            LEFT JOIN (SELECT f.*, puzzle_type FROM flags f JOIN questions q ON q.id = f.question) f ON f.player = p.id AND f.puzzle_type = t.id GROUP BY ALL""",
     ),
     "collection_stats": (
-        lambda t: stats.collection_stats(t.types, t.collections, t.questions, t.attempts),
+        lambda t: stats.collection_stats(t.players, t.types, t.collections, t.questions, t.attempts),
         """, done AS (SELECT DISTINCT player, question, src_collection, puzzle_type FROM attempts a JOIN questions q ON q.id = a.question WHERE finished_at IS NOT NULL AND src_collection IS NOT NULL)
-           SELECT a.player, c.id AS collection_id, c.name AS collection_name, t.id AS type_id, t.name AS type_name, n.total, count(d.question) AS solved
-           FROM (SELECT DISTINCT player, src_collection FROM done) a
-           JOIN (SELECT src_collection, puzzle_type, count(*) AS total FROM questions GROUP BY ALL) n ON n.src_collection = a.src_collection
-           JOIN collections c ON c.id = a.src_collection JOIN types t ON t.id = n.puzzle_type
-           LEFT JOIN done d ON d.player = a.player AND d.src_collection = a.src_collection AND d.puzzle_type = n.puzzle_type GROUP BY ALL""",
+           SELECT p.id AS player, c.id AS collection_id, c.name AS collection_name, t.id AS type_id, t.name AS type_name, n.total, count(d.question) AS solved
+           FROM players p CROSS JOIN (SELECT src_collection, puzzle_type, count(*) AS total FROM questions GROUP BY ALL) n
+           JOIN collections c ON c.id = n.src_collection JOIN types t ON t.id = n.puzzle_type
+           LEFT JOIN done d ON d.player = p.id AND d.src_collection = n.src_collection AND d.puzzle_type = n.puzzle_type GROUP BY ALL""",
     ),
     "collection_groups": (
-        lambda t: stats.collection_groups(stats.collection_stats(t.types, t.collections, t.questions, t.attempts)).withColumn("types", F.array_join(F.transform("types", lambda x: F.concat_ws(":", x["type_name"], x["total"], x["solved"])), ",")),
+        lambda t: stats.collection_groups(stats.collection_stats(t.players, t.types, t.collections, t.questions, t.attempts)).withColumn("types", F.array_join(F.transform("types", lambda x: F.concat_ws(":", x["type_name"], x["total"], x["solved"])), ",")),
         """, done AS (SELECT DISTINCT player, question, src_collection, puzzle_type FROM attempts a JOIN questions q ON q.id = a.question WHERE finished_at IS NOT NULL AND src_collection IS NOT NULL),
-           each AS (SELECT a.player, c.id AS collection_id, c.name AS collection_name, t.name AS type_name, n.total, count(d.question) AS solved
-           FROM (SELECT DISTINCT player, src_collection FROM done) a
-           JOIN (SELECT src_collection, puzzle_type, count(*) AS total FROM questions GROUP BY ALL) n ON n.src_collection = a.src_collection
-           JOIN collections c ON c.id = a.src_collection JOIN types t ON t.id = n.puzzle_type
-           LEFT JOIN done d ON d.player = a.player AND d.src_collection = a.src_collection AND d.puzzle_type = n.puzzle_type GROUP BY ALL)
+           each AS (SELECT p.id AS player, c.id AS collection_id, c.name AS collection_name, t.name AS type_name, n.total, count(d.question) AS solved
+           FROM players p CROSS JOIN (SELECT src_collection, puzzle_type, count(*) AS total FROM questions GROUP BY ALL) n
+           JOIN collections c ON c.id = n.src_collection JOIN types t ON t.id = n.puzzle_type
+           LEFT JOIN done d ON d.player = p.id AND d.src_collection = n.src_collection AND d.puzzle_type = n.puzzle_type GROUP BY ALL)
            SELECT player, collection_id, collection_name, CAST(sum(total) AS BIGINT) AS total, CAST(sum(solved) AS BIGINT) AS solved, string_agg(type_name || ':' || total || ':' || solved, ',' ORDER BY type_name) AS types FROM each GROUP BY ALL""",
     ),
     "collection_counts": (
@@ -209,14 +209,14 @@ QUERIES = {
     ),
     "recent_puzzles": (lambda t: cat.list_puzzles(view(t), limit=10), f"SELECT * FROM ({VIEW}) ORDER BY created_at DESC, id DESC LIMIT 10"),
     "sort_puzzles": (
-        lambda t: cat.sort_puzzles(t.questions, "size", True).limit(50).select("id", "title", cat.sort_key("size").alias("size")),
-        "SELECT id, title, coalesce(width, 0) * coalesce(height, 0) AS size FROM questions ORDER BY size DESC, id LIMIT 50",
+        lambda t: cat.sort_puzzles(t.questions, "size", True).select("id", "title", cat.sort_key("size").alias("size")),
+        "SELECT id, title, coalesce(width, 0) * coalesce(height, 0) AS size FROM questions ORDER BY size DESC, id",
     ),
     "collections_by_date": (lambda t: cat.collections_by_date(t.collections), "SELECT * FROM collections ORDER BY publish_at DESC NULLS LAST, id"),
     "stats_order": (
-        lambda t: stats.collection_stats(t.types, t.collections, t.questions, t.attempts).orderBy("player", "collection_name", "type_name").limit(200).select("player", "collection_name", "type_name"),
-        """, done AS (SELECT DISTINCT player, src_collection FROM attempts a JOIN questions q ON q.id = a.question WHERE finished_at IS NOT NULL AND src_collection IS NOT NULL)
-           SELECT DISTINCT d.player, c.name AS collection_name, t.name AS type_name FROM done d JOIN questions q ON q.src_collection = d.src_collection JOIN collections c ON c.id = d.src_collection JOIN types t ON t.id = q.puzzle_type ORDER BY 1, 2, 3 LIMIT 200""",
+        lambda t: stats.collection_stats(t.players, t.types, t.collections, t.questions, t.attempts).orderBy("player", "collection_name", "type_name").select("player", "collection_name", "type_name"),
+        """SELECT p.id AS player, c.name AS collection_name, t.name AS type_name FROM players p CROSS JOIN (SELECT DISTINCT src_collection, puzzle_type FROM questions) q
+           JOIN collections c ON c.id = q.src_collection JOIN types t ON t.id = q.puzzle_type ORDER BY 1, 2, 3""",
     ),
     "solved_subset": (
         lambda t: cat.solved_subset(t.attempts, odd_questions(t)),

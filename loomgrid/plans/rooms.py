@@ -1,12 +1,12 @@
-"""Queries of audits of boards with rooms and gates: name to (function of Tables, SQL)."""
+"""Queries of audits of boards with rooms and gates, and of lines: name to (function of Tables, SQL)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgrid.operators import rooms
+from loomgrid.operators import grid, lines, rooms
 from loomgrid.plans.answers import CHOCO, CHOCO_CELLS, choco_borders
-from loomgrid.plans.boards import cell_sql
+from loomgrid.plans.boards import NONOGRAM, RUNS, cell_sql
 from loomgrid.sources import boards
 from loomgrid.sources.analog import Tables
 
@@ -80,7 +80,46 @@ spans AS (SELECT board_id, orientation, line, min(pos) AS lo, max(pos) AS hi FRO
 -- The column's first dashed cell stands in row 0 or 1, before any of row 3.
 gates AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY orientation DESC, lo) - 1 AS gate FROM spans)"""
 
+
+#: A player's line: most cells as they should be, some unset, crossed or wrong.
+PLAYED = f"case when (r * 7 + c * 3 + board_id) % 6 = 0 then 0 when (r * 5 + c * 11 + board_id) % 17 = 0 then 1 + ({boards.FILL}) else 2 - ({boards.FILL}) end"
+
+
+def played(t: Tables):
+    """(board_id, axis, line, clue, cells) of all rows and columns."""
+    cells = boards.nonogram(t, PLAYED)
+    both = cells.select("board_id", F.lit("row").alias("axis"), F.col("r").alias("line"), F.col("c").alias("pos"), "v").unionByName(cells.select("board_id", F.lit("col").alias("axis"), F.col("c").alias("line"), F.col("r").alias("pos"), "v"))
+    whole = both.groupBy("board_id", "axis", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("cells"))  # one line
+    clues = grid.line_runs(boards.nonogram(t, boards.FILL)).select("board_id", "axis", "line", F.col("runs").cast("array<int>").alias("clue"))
+    return whole.join(clues, ["board_id", "axis", "line"])
+
+
+LINES_SQL = f"""WITH {cell_sql(*NONOGRAM, boards.FILL)}, {RUNS},
+clues AS (SELECT board_id, axis, line, CAST(string_split(runs, ' ') AS INTEGER[]) AS clue FROM lines),
+{cell_sql(*NONOGRAM, PLAYED, 'shown')},
+placed AS (SELECT board_id, 'row' AS axis, r AS line, c AS pos, v FROM shown UNION ALL SELECT board_id, 'col', c, r, v FROM shown),
+size_of AS (SELECT board_id, axis, line, count(*) AS n FROM placed GROUP BY ALL),
+marked AS (SELECT *, pos - row_number() OVER (PARTITION BY board_id, axis, line ORDER BY pos) AS g FROM placed WHERE v = 1),
+blocks AS (SELECT board_id, axis, line, min(pos) AS s, max(pos) + 1 AS e, count(*) AS len FROM marked GROUP BY board_id, axis, line, g),
+ranked AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY board_id, axis, line) AS k, coalesce(lag(e) OVER w, 0) AS pe, lead(s) OVER w AS ns FROM blocks WINDOW w AS (PARTITION BY board_id, axis, line ORDER BY s)),
+seen AS (SELECT b.*, z.n, (s = 0 OR EXISTS (SELECT 1 FROM placed p WHERE p.board_id = b.board_id AND p.axis = b.axis AND p.line = b.line AND p.pos = s - 1 AND p.v = 2))
+    AND (e = z.n OR EXISTS (SELECT 1 FROM placed p WHERE p.board_id = b.board_id AND p.axis = b.axis AND p.line = b.line AND p.pos = e AND p.v = 2)) AS sealed,
+  NOT EXISTS (SELECT 1 FROM placed p WHERE p.board_id = b.board_id AND p.axis = b.axis AND p.line = b.line AND p.v = 0 AND p.pos >= pe AND p.pos < s) AS clear_before,
+  NOT EXISTS (SELECT 1 FROM placed p WHERE p.board_id = b.board_id AND p.axis = b.axis AND p.line = b.line AND p.v = 0 AND p.pos >= e AND p.pos < coalesce(ns, z.n)) AS clear_after
+  FROM ranked b JOIN size_of z USING (board_id, axis, line)),
+ends AS (SELECT board_id, axis, line, max(k) AS k, count(*) FILTER (sealed) AS n_sealed, list(len ORDER BY i) AS lens, max(len) FILTER (sealed) AS longest,
+  coalesce(min(i) FILTER (NOT (sealed AND clear_before)) - 1, max(k)) AS lead_, coalesce(max(k) - max(i) FILTER (NOT (sealed AND clear_after)), max(k)) AS tail FROM seen GROUP BY ALL),
+sides AS (SELECT c.*, len(clue) AS m, coalesce(k, 0) AS k, coalesce(n_sealed, 0) AS n_sealed, coalesce(lens, []) AS lens, longest, least(len(clue), coalesce(lead_, 0)) AS front, coalesce(tail, 0) AS tail FROM clues c LEFT JOIN ends USING (board_id, axis, line)),
+both_sides AS (SELECT *, least(m - front, tail) AS back FROM sides),
+judged AS (SELECT b.*, EXISTS (SELECT 1 FROM seen x WHERE x.board_id = b.board_id AND x.axis = b.axis AND x.line = b.line AND (x.i <= front AND x.len <> clue[x.i] OR x.k - x.i < back AND x.len <> clue[m - (x.k - x.i)])) AS wrong,
+  (SELECT count(*) FROM seen x WHERE x.board_id = b.board_id AND x.axis = b.axis AND x.line = b.line AND x.sealed AND x.i > front AND x.i <= b.k - back) AS between_
+  FROM both_sides b),
+told AS (SELECT *, CASE WHEN lens = clue THEN 'satisfied' WHEN n_sealed > m THEN 'error' WHEN m = 1 AND clue[1] = 0 THEN CASE WHEN k > 0 THEN 'error' ELSE 'satisfied' END
+  WHEN longest > list_max(clue) THEN 'error' WHEN wrong OR between_ > m - front - back THEN 'error' WHEN front + back = m THEN 'satisfied' ELSE 'normal' END AS status FROM judged)
+SELECT board_id, axis, CAST(line AS INTEGER) AS line, status, CAST(CASE status WHEN 'satisfied' THEN m WHEN 'normal' THEN front ELSE 0 END AS INTEGER) AS done_front, CAST(CASE status WHEN 'normal' THEN back ELSE 0 END AS INTEGER) AS done_back FROM told"""
+
 QUERIES = {
+    "nonogram_line_status": (lambda t: lines.nonogram_line_status(played(t)).drop("clue", "cells"), LINES_SQL),
     "audit_double_choco": (double_choco, "SELECT p_partkey AS board_id, p_partkey % 3 = 0 AND p_partkey % 5 <> 4 AS passed FROM part"),
     "audit_nuritwin": (nuritwin, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 6) AS passed FROM part"),
     "audit_nurimaze": (nurimaze, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 1) AS passed FROM part"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgrid.operators import rooms
+from loomgrid.operators import lines, rooms
 
 CELL, EDGE = "board_id long, r int, c int, v int", "board_id long, layer string, r int, c int, v int"
 
@@ -124,3 +124,27 @@ def test_every_kind_has_rules():
 
     assert set(rooms.RULES) == set(quality.KINDS.values())
     assert all(r.progress for r in rooms.RULES.values())
+
+
+@pytest.mark.parametrize(
+    "cells, clue, want",
+    [
+        ([1, 2, 1, 1], [1, 2], ("satisfied", 2, 0)),
+        ([2, 2, 2], [0], ("satisfied", 1, 0)),
+        ([2, 1, 2], [0], ("error", 0, 0)),
+        ([1, 1, 2, 0, 0], [1, 1], ("error", 0, 0)),  # larger than any clue
+        ([1, 2, 1, 2, 1, 2], [1, 1], ("error", 0, 0)),  # more sealed runs than clues
+        ([1, 2, 0, 0, 0], [1, 2], ("normal", 1, 0)),
+        ([0, 0, 0, 2, 1], [2, 1], ("normal", 0, 1)),
+        ([0, 0, 2, 1, 2], [2, 1], ("normal", 0, 1)),
+        ([2, 1, 2, 0, 0, 0], [2, 1], ("error", 0, 0)),  # not the first clue
+        ([0, 1, 0, 0, 0], [2], ("normal", 0, 0)),
+        ([1, 2, 0, 2, 1, 2, 1], [1, 1, 1], ("satisfied", 3, 0)),
+        ([1, 2, 0, 1, 2, 0, 1], [1, 1, 1], ("satisfied", 3, 0)),
+        ([0, 2, 1, 2, 0, 2, 1, 2, 0], [1], ("error", 0, 0)),
+    ],
+)
+def test_line_status(spark, cells, clue, want):
+    df = spark.createDataFrame([(cells, clue)], "cells array<int>, clue array<int>")
+    row = lines.nonogram_line_status(df).first()
+    assert (row.status, row.done_front, row.done_back) == want

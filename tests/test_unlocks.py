@@ -31,3 +31,25 @@ def test_feed_gives_collections(spark, monkeypatch):
     writes.unlocks(t)
     rows = held["evaluate"](finished(t, [1, 2])).collect()
     assert {r.player for r in rows if r.achievement_id == "collection_complete_1"} == {1, 2}
+
+
+def test_feeds_go_on_after_a_restart(spark, tmp_path):
+    schema = "id long, attempt long, progress double, elapsed_seconds int, finished boolean, created_at timestamp_ntz"
+
+    def feed(rows, name):
+        spark.createDataFrame(rows, schema.replace("created_at timestamp_ntz", "at string")).selectExpr("id", "attempt", "progress", "elapsed_seconds", "finished", "cast(at as timestamp_ntz) as created_at").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        return {r.attempt: r.id for r in feeds.stream_latest_snapshot(stream, f"file://{tmp_path}/state").collect()}
+
+    assert feed([(k, k % 3, 0.1, 1, False, f"2024-01-01 00:00:{k:02d}") for k in range(9)], "a") == {0: 6, 1: 7, 2: 8}
+    assert feed([(20, 1, 0.2, 2, False, "2024-01-02 00:00:00"), (21, 9, 0.2, 2, False, "2024-01-02 00:00:00"), (22, 2, 0.2, 2, False, "2023-01-02 00:00:00")], "b") == {0: 6, 1: 20, 2: 8, 9: 21}
+
+    def unlocks(rows, name):
+        spark.createDataFrame(rows, "player long, question long, at string").selectExpr("player", "question", "cast(at as timestamp_ntz) as finished_at").coalesce(1).write.parquet(f"{tmp_path}/on/{name}")
+        stream = spark.readStream.schema("player long, question long, finished_at timestamp_ntz").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/on")
+        three = lambda a: a.groupBy("player").agg(F.count_distinct("question").alias("n")).filter("n >= 3").select("player", F.lit("three").alias("achievement_id"))
+        made = feeds.stream_unlocks(stream, three, f"file://{tmp_path}/unlocks", "player long, question long, finished_at timestamp_ntz")
+        return sorted(r.player for r in made.collect())
+
+    assert unlocks([(1, 1, "2024-01-01"), (1, 2, "2024-01-01"), (2, 1, "2024-01-01"), (2, 2, "2024-01-01"), (2, 3, "2024-01-01")], "a") == [2]
+    assert unlocks([(1, 3, "2024-01-02"), (2, 4, "2024-01-02"), (3, 1, "2024-01-02")], "b") == [1, 2]
