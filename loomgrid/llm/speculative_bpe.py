@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -131,18 +132,28 @@ class SpeculativeBpe:
         return out
 
     def merge(self, word: str, end: str | None = None) -> list[str]:
-        """Exact merging: always the leftmost pair of the lowest rank."""
+        """Exact merging: always the leftmost pair of the lowest rank, from a heap of the pairs of a linked list."""
         parts = list(word)
         if parts:
             parts[-1] += self.end if end is None else end
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, NEVER) for pair in zip(parts, parts[1:])]
-            low = min(ranks)
-            if low == NEVER:
-                break
-            k = ranks.index(low)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, pair) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank.get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            _, i, pair = heappop(heap)
+            j = after[i] if parts[i] is not None else n
+            if j == n or (parts[i], parts[j]) != pair:
+                continue  # merged since
+            parts[i], parts[j] = pair[0] + pair[1], None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i, (parts[i], parts[k])))
+            if (k := before[i]) >= 0 and (r := rank.get((parts[k], parts[i]))) is not None:
+                heappush(heap, (r, k, (parts[k], parts[i])))
+        return [x for x in parts if x is not None]
 
     def learn(self, words: list[str]) -> int:
         """Encode distinct words (byte-level strings) into the cache; the number merged exactly."""
