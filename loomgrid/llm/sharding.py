@@ -100,9 +100,8 @@ def split(rows: DataFrame, ranges: int, most_turns: int = 4) -> tuple[list[tuple
     return bounds, sizes, counts
 
 
-def assign(spark: SparkSession, docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
-    space = Workspace(spark, "sharding")
+def places(space: Workspace, docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, h, d, shard, slot) of every row."""
     rows = space.table(keys(docs, text), "keys")
     bounds, sizes, counts = split(rows, shards * RANGES)
     total = rows.agg(F.sum("size")).first()[0] or 1
@@ -114,15 +113,32 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = 40, text: str = "
         .withColumns({"end": F.col("end") + lookup(sizes, F.col("range")), "nth": F.col("nth") + lookup(counts, F.col("range")) - 1})
         .withColumn("shard", F.expr(f"int(((2 * end - size) * {shards}L) div {2 * total}L)"))
     )
-    placed = space.table(placed.select("doc_id", "size", "text_crc32", "shard", "nth"), "placed")
+    placed = space.table(placed.select("doc_id", "size", "text_crc32", "h", "d", "shard", "nth"), "placed")
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("nth").alias("first")).collect()}  # one row per shard
     starts = [first.get(k, 0) for k in range(shards)]
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - lookup(starts, F.col("shard"))).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    return placed.withColumn("slot", (F.col("nth") - lookup(starts, F.col("shard"))).cast("long")).drop("nth")
+
+
+def assign(spark: SparkSession, docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+    space = Workspace(spark, "sharding")
+    made = places(space, docs, shards, text).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    space.drop("keys")
+    return made
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write ``docs`` as one folder per shard, joined to their places by doc_id."""
-    places = assign(spark, docs, shards).select("doc_id", "shard", "slot")
-    docs.drop("shard", "slot").join(places, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard, in the order of the slots; all rows, repeated ones and those without doc_id included.
+
+    Rows of one text and doc_id are interchangeable and take one of their places each.
+    """
+    space = Workspace(spark, "sharding")
+    alike = Window.partitionBy("h", "d").orderBy(F.lit(0))
+    spots = places(space, docs, shards).withColumn("alike", F.row_number().over(alike)).select("h", "d", "alike", "shard", "slot")
+    kept = docs.drop("shard", "slot")
+    inner = {c: f"own_{k}" for k, c in enumerate(kept.columns)}  # names of the join can't clash
+    renamed = kept.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    keyed = renamed.withColumns({"h": F.xxhash64(F.coalesce(F.col(inner["text"]), F.lit(""))), "d": F.coalesce(F.col(inner["doc_id"]).cast("long"), F.lit(-(2**63)))}).withColumn("alike", F.row_number().over(alike))
+    joined = keyed.join(spots, ["h", "d", "alike"]).select(*[F.col(n).alias(c) for c, n in inner.items()], "shard", "slot")
+    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    space.drop(*space.tables)

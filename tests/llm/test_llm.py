@@ -143,6 +143,20 @@ def test_encoders_match_the_library_on_noise(path):
     assert [d for _, d in made] == [library.decode(ids, skip_special_tokens=False) for ids in want]
 
 
+@pytest.mark.parametrize("path", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_words_merge_like_the_library(path):
+    from time import monotonic
+
+    rng, path = random.Random(6), public_tokenizers.path(path)
+    bpe, library = speculative_bpe.SpeculativeBpe(path), Tokenizer.from_file(path)
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz"):
+        word = "".join(rng.choice(letters) for _ in range(3000))
+        assert np.frombuffer(bpe.encode([word])[0][0], "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    begin = monotonic()
+    bpe.merge("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
+    assert monotonic() - begin < 30
+
+
 def test_speculation_decides_by_pairs():
     bpe = speculative_bpe.model(WORD)
     rng = random.Random(2)
@@ -547,6 +561,33 @@ def test_op9_places_every_row(spark, docs, corpus, empty):
     assert sharding.assign(spark, empty, 8).count() == 0
 
 
+def test_op9_against_the_law_row_by_row(spark):
+    """Every row's shard by brute force: rows in the order of (hash, doc_id), the middle of a row's bytes decides."""
+    rng, rows = random.Random(9), []
+    for k in range(400):
+        rows.append((k, rng.choice([None, "", "same text"]) if k % 5 == 0 else "x" * rng.randrange(1, 900) + str(k)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) as h").collect()}
+    size = {k: len((t or "").encode()) + 16 for k, t in rows}
+    total, end, want = sum(size.values()), 0, {}
+    for k in sorted(size, key=lambda k: (hashes[k], k)):
+        want[k] = (2 * end + size[k]) * 7 // (2 * total)
+        end += size[k]
+    got = sharding.assign(spark, df, 7).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+    for shard in range(7):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(list(want.values()).count(shard)))
+
+
+def test_op9_writes_every_row(spark, tmp_path):
+    rows = [(1, "a", "x", 5), (1, "a", "y", 5), (1, "b", "z", 5), (None, None, "n", 5), (None, "a", None, 5), (2, "", "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, alike string, h int")
+    sharding.write(spark, df, f"{tmp_path}/out", 3)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert order(tuple(r) for r in back.select("doc_id", "text", "alike", "h").collect()) == order(rows)
+    assert back.groupBy("shard", "slot").count().filter("count > 1").count() == 0
+
+
 def test_op9_subdivides_a_hot_group(spark):
     rows = [(k, "same text " * 20 if k % 3 == 0 else f"text {k} " * (k % 30)) for k in range(3000)]
     made = sharding.assign(spark, spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
