@@ -148,3 +148,44 @@ def test_line_status(spark, cells, clue, want):
     df = spark.createDataFrame([(cells, clue)], "cells array<int>, clue array<int>")
     row = lines.nonogram_line_status(df).first()
     assert (row.status, row.done_front, row.done_back) == want
+
+
+def ring(board, m, n, r=0, c=0):
+    """Edges of a rectangle of m x n places."""
+    h = [(board, "h", r + x, c + k, 1) for x in (0, m - 1) for k in range(n - 1)]
+    return h + [(board, "v", r + k, c + x, 1) for x in (0, n - 1) for k in range(m - 1)]
+
+
+def test_masyu_rules(spark):
+    from loomgrid.operators import audit
+
+    boards = {
+        1: (ring(1, 4, 5), [(0, 1, 1), (0, 0, 2)], True),
+        2: (ring(2, 4, 5), [(0, 2, 1)], False),  # white without a turn beside it
+        3: (ring(3, 4, 5), [(0, 0, 1)], False),  # white on a turn
+        4: (ring(4, 4, 5), [(0, 1, 2)], False),  # black on a straight
+        5: (ring(5, 2, 5), [(0, 0, 2)], False),  # black with a turning neighbour
+        6: (ring(6, 4, 5), [(1, 1, 1)], False),  # off the loop
+        7: (ring(7, 4, 5) + ring(7, 2, 2, 6, 6), [(0, 1, 1)], False),  # two loops
+        8: (ring(8, 4, 5)[1:], [(3, 1, 1)], False),  # open
+    }
+    circles = [(k, *x) for k, (_, on, _) in boards.items() for x in on]
+    edges = [e for drawn, _, _ in boards.values() for e in drawn]
+    got = verdicts(audit.audit_masyu(spark.createDataFrame(circles, CELL), spark.createDataFrame(edges, EDGE)))
+    assert got == {k: x[-1] for k, x in boards.items()}
+
+
+def test_slitherlink_rules(spark):
+    from loomgrid.operators import audit
+
+    boards = {
+        1: (ring(1, 2, 3), [(0, 0, 3), (0, 1, -1)], True),
+        2: (ring(2, 2, 3), [(0, 0, 2), (0, 1, 3)], False),  # a wrong clue alone
+        3: (ring(3, 2, 3), [(0, 0, 3), (1, 0, 0)], False),  # no side drawn of a cell that has one
+        4: (ring(4, 2, 2) + ring(4, 2, 2, 3, 3), [(0, 0, -1)], False),
+        5: (ring(5, 2, 2)[1:], [(0, 0, 3)], False),
+    }
+    clues = [(k, *x) for k, (_, on, _) in boards.items() for x in on]
+    edges = [e for drawn, _, _ in boards.values() for e in drawn]
+    got = verdicts(audit.audit_slitherlink(spark.createDataFrame(clues, CELL), spark.createDataFrame(edges, EDGE)))
+    assert got == {k: x[-1] for k, x in boards.items()}
