@@ -7,10 +7,12 @@ through a mel filterbank, and frames are grouped to segments by the hysteresis
 of their energy: a segment begins above the upper threshold and lasts while
 frames stay above the lower one.
 
-Frames are stored as fixed-shape Arrow tensors (``PATCH`` frames by ``MELS``
+Frames are given as fixed-shape Arrow tensors (``PATCH`` frames by ``MELS``
 bands, the last patch padded with the floor), one Arrow stream per recording
-with the time span of each patch.  A recording is read in bounded pieces, so
-that memory doesn't grow with its length; results are those of the whole.
+with the time span of each patch, in a binary column of ``analyse``.  A task
+holds one recording at a time as a whole, with its samples as 32-bit floats,
+its resampled signal and its frames: about 10 bytes for a byte of text, and the
+spectra of 1024 frames.
 
 A null text is an empty one; its payload is one unit of padding.  Equal texts
 have equal values, since nothing depends on other rows.  Repeated rows give
