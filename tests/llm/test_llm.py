@@ -600,6 +600,35 @@ def test_op9_subdivides_a_hot_group(spark):
 # pipeline
 
 
+def test_good_rows_are_those_of_the_verdicts(spark, corpus):
+    rows = [(k, t, n, "q", n % 2 == 0) for n, (k, t, *_) in enumerate(corpus)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, quality string, kept boolean")
+    good = quality_rules.keep_good(df)
+    assert good.columns == df.columns
+    ids = {r[2] for r in rows}
+    verdicts = {r.place for r in quality_rules.apply_rules(df.withColumn("place", df.n_words)).filter("kept").select("place").collect()}
+    assert verdicts <= ids and {r.n_words for r in good.collect()} == verdicts
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") <= 2 and plan.index("Generate") > 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    prose = lambda n: " ".join(w if k % 4 else "the" for k, w in enumerate(words(rng, n)))
+    one, two = prose(90), prose(90)
+    rows = [(1, one, "en", "s", 1, "x", 7), (1, two, "en", "s", 1, "y", 7), (1, one, "en", "s", 1, "x", 7), (2, one, "en", "s", 1, "z", 7), (None, prose(80), "en", "s", 1, None, None)]
+    extra = DOCS + ", cut_spans string, kept int"
+    docs, kept = spark.createDataFrame(rows, extra), None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), extra)
+        kept = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    assert kept == sorted([(1, one), (1, two), (0, rows[-1][1])])  # repeated rows and the copy go, both texts of one id stay
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
