@@ -12,7 +12,7 @@ NONE = "none"
 
 def join_type(questions: DataFrame, types: DataFrame) -> DataFrame:
     """Questions with their type's name; the few types are broadcast."""
-    return questions.join(F.broadcast(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))), "puzzle_type")
+    return questions.join(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name")), "puzzle_type")
 
 
 def join_collection_left(questions: DataFrame, collections: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def display_defaults(view: DataFrame) -> DataFrame:
 def name_lookup(rows: DataFrame, names: DataFrame, key: str, fallback: str) -> DataFrame:
     """``rows`` with ``label``: the name of ``key``, or the fallback text before the key."""
     side = names.select(F.col("id").alias(key), F.col("name").alias("found"))
-    return rows.join(F.broadcast(side), key, "left").withColumn("label", F.coalesce("found", F.concat(F.lit(fallback), F.col(key)))).drop("found")
+    return rows.join(side, key, "left").withColumn("label", F.coalesce("found", F.concat(F.lit(fallback), F.col(key)))).drop("found")
 
 
 def sort_key(by: str) -> Column:

@@ -39,7 +39,7 @@ def question_stats(players: DataFrame, types: DataFrame, questions: DataFrame, a
     grid = players.select(F.col("id").alias("player")).crossJoin(F.broadcast(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))))
     zero = F.lit(0).cast("long")
     return (
-        grid.join(F.broadcast(totals), "puzzle_type", "left")
+        grid.join(totals, "puzzle_type", "left")
         .join(facts, ["player", "puzzle_type"], "left")
         .select("player", F.col("puzzle_type").alias("type_id"), "type_name", *[F.coalesce(c, zero).alias(c) for c in ("total", "solved", "tried")])
         .orderBy("player", "type_name")
@@ -56,7 +56,7 @@ def collection_stats(players: DataFrame, types: DataFrame, collections: DataFram
     # As many rows as the result has.
     return (
         players.select(F.col("id").alias("player"))
-        .crossJoin(totals)
+        .crossJoin(F.broadcast(totals))
         .join(solved, ["player", "src_collection", "puzzle_type"], "left")
         .select("player", F.col("src_collection").alias("collection_id"), "collection_name", F.col("puzzle_type").alias("type_id"), "type_name", "total", F.coalesce("solved", F.lit(0).cast("long")).alias("solved"))
     )
@@ -77,7 +77,7 @@ def collection_counts(collections: DataFrame, questions: DataFrame) -> DataFrame
 def group_by_type(questions: DataFrame, types: DataFrame) -> DataFrame:
     """Questions per collection and type."""
     n = questions.groupBy("src_collection", "puzzle_type").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))), "puzzle_type").select("src_collection", "puzzle_type", "type_name", "n")
+    return n.join(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name")), "puzzle_type").select("src_collection", "puzzle_type", "type_name", "n")
 
 
 def solved_by_type_difficulty(questions: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def metrics(solved: DataFrame, completed: DataFrame) -> DataFrame:
 def evaluate_achievements(values: DataFrame, definitions: DataFrame) -> DataFrame:
     """(player, achievement_id) for every definition whose threshold is reached."""
     wanted = definitions.select(F.col("id").alias("achievement_id"), "metric", F.coalesce("key", F.lit(-1)).alias("key"), "threshold")
-    return values.withColumn("key", F.coalesce("key", F.lit(-1))).join(F.broadcast(wanted), ["metric", "key"]).filter("value >= threshold").select("player", "achievement_id")
+    return values.withColumn("key", F.coalesce("key", F.lit(-1))).join(wanted, ["metric", "key"]).filter("value >= threshold").select("player", "achievement_id")
 
 
 def not_yet_unlocked(reached: DataFrame, existing: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        part = self.read("part").join(F.broadcast(self.types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("p_type"))), "p_type")
+        part = self.read("part").join(self.types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("p_type")), "p_type")
         key = F.col("p_partkey")
         return part.select(
             key.alias("id"),

@@ -60,9 +60,11 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors see."""
+    """A fresh folder that driver and executors see; only a local session that names none gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     root = root if ":/" in root else "file://" + os.path.abspath(root)
