@@ -6,17 +6,20 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.plans import answers, audits, boards, relational, rooms, writes
+from loomgrid.plans import answers, audits, boards, contours, relational, rooms, writes
 from loomgrid.sources.analog import CTE, Tables
 
+#: Queries whose SQL names the boards' formulas itself, without the catalogue's tables.
+PLAIN = boards.QUERIES | answers.QUERIES | audits.QUERIES | rooms.QUERIES | contours.QUERIES | writes.QUERIES
+
 
 def _run(build, spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(Tables(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {name: partial(_run, build) for name, (build, _) in (relational.QUERIES | boards.QUERIES | answers.QUERIES | audits.QUERIES | rooms.QUERIES | writes.QUERIES).items()}
+    return {name: partial(_run, build) for name, (build, _) in (relational.QUERIES | PLAIN).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: CTE + sql for name, (_, sql) in relational.QUERIES.items()} | {name: sql for name, (_, sql) in (boards.QUERIES | answers.QUERIES | audits.QUERIES | rooms.QUERIES | writes.QUERIES).items()}
+    return {name: CTE + sql for name, (_, sql) in relational.QUERIES.items()} | {name: sql for name, (_, sql) in PLAIN.items()}
