@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a node's number below the board's: row and column of up to 1024 each.
@@ -72,24 +72,74 @@ def progress_double_choco(cells: DataFrame, borders: DataFrame) -> DataFrame:
     return room.groupBy("board_id").agg((good / F.sum(F.col("white") + F.col("gray")) * 100).alias("progress"))
 
 
-def shortest_path(cells: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(board_id, r, c, distance): breadth-first distances from the start of each board, level by level.
+def place_of(x: str = "x"):
+    """board_id, r and c of a node's number."""
+    place = F.col(x).bitwiseAND((1 << BITS) - 1)
+    return [F.shiftright(x, BITS).alias("board_id"), F.shiftright(place, 10).cast("int").alias("r"), place.bitwiseAND(1023).cast("int").alias("c")]
+
 
-    Neighbours of a level are in it or in one of the two beside it, so that a
-    new level is compared with the last two only, and each place is written once.
+def breadth_first(links: DataFrame, starts: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """(x, parent, distance): numbers of the places reached from each board's start, each with the place it is reached from.
+
+    Level by level over links (board_id, r, c, nr, nc), each both ways; a level
+    is a part of one table in the shared folder, and is compared with the two
+    levels before it only, since neighbours are in one of these or in itself.
+    Of equal parents that of the lowest rank is taken; the places of a level are
+    ranked by their parent's rank, and of one parent's neighbours those above,
+    below, left and right come in this order.  A board whose goal is reached
+    goes no further.
     """
-    ensure_checkpoints(cells)
+    from loomgrid.sources.tables import shared_folder
+
+    ensure_checkpoints(links)
+    spark, path = links.sparkSession, shared_folder(links.sparkSession, "levels")
     one = links.select(node().alias("x"), node("nr", "nc").alias("y"))
-    both = one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
-    front = starts.select(node().alias("x")).withColumn("distance", F.lit(0)).checkpoint()
-    seen, last = front, front.limit(0)
-    while front.limit(1).count():
-        step = front.join(both, "x").select(F.col("y").alias("x"), (F.col("distance") + 1).alias("distance")).distinct()
-        near = last.select("x").unionByName(front.select("x"))
-        last, front = front, step.join(near, "x", "left_anti").checkpoint()
-        seen = seen.unionByName(front)
-    place = F.col("x").bitwiseAND((1 << BITS) - 1)
-    return seen.select(F.shiftright("x", BITS).alias("board_id"), F.shiftright(place, 10).cast("int").alias("r"), place.bitwiseAND(1023).cast("int").alias("c"), "distance")
+    both = one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    dr = F.shiftright("y", 10) - F.shiftright("x", 10)
+    way = F.when(dr < 0, 0).when(dr > 0, 1).when(F.col("y") < F.col("x"), 2).otherwise(3)
+    both = both.withColumn("way", way).checkpoint()
+    ends = None if goals is None else goals.select(node().alias("x"))
+    schema = "x long, parent long, rank int"
+    level, front = 0, starts.select(node().alias("x"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("rank"))
+    while True:
+        front.write.parquet(f"{path}/distance={level}")
+        near = [spark.read.schema(schema).parquet(f"{path}/distance={k}") for k in range(max(0, level - 1), level + 1)]
+        front = near[-1]
+        if not front.limit(1).count():
+            return spark.read.schema(schema + ", distance int").option("basePath", path).parquet(path).select("x", "parent", "distance")
+        going = front
+        if ends is not None:
+            arrived = front.join(ends, "x", "left_semi").select(F.shiftright("x", BITS).alias("b"))
+            going = front.withColumn("b", F.shiftright("x", BITS)).join(arrived, "b", "left_anti").drop("b")
+        step = going.join(both, "x").groupBy(F.col("y").alias("x2")).agg(F.min(F.struct("rank", "way")).alias("k"), F.min_by("x", F.struct("rank", "way")).alias("parent"))
+        known = near[-1].select("x") if len(near) == 1 else near[0].select("x").unionByName(near[1].select("x"))
+        new = step.withColumnRenamed("x2", "x").join(known, "x", "left_anti")
+        front = new.select("x", "parent", F.row_number().over(Window.partitionBy(F.shiftright("x", BITS)).orderBy("k")).cast("int").alias("rank"))
+        level += 1
+
+
+def shortest_path(cells: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(board_id, r, c, distance): breadth-first distances from the start of each board."""
+    return breadth_first(links, starts).select(*place_of(), "distance")
+
+
+def path_steps(links: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+    """(board_id, step, r, c): one shortest path from each board's start to its goal, ties as in ``breadth_first``.
+
+    Pointers to parents double: the places known to be on the way bring in those
+    so many steps before them, and twice as many in the next round.  Boards whose
+    goal isn't reached have no rows.
+    """
+    found = breadth_first(links, starts, goals)
+    on = found.join(goals.select(node().alias("x")), "x", "left_semi").select("x", "distance")
+    most = on.agg(F.max("distance")).first()[0] or 0
+    jump = found.join(on.select(F.shiftright("x", BITS).alias("b")), F.shiftright(found.x, BITS) == F.col("b"), "left_semi").filter("parent is not null").select("x", "parent").checkpoint()
+    on = on.select("x").checkpoint()
+    for k in range(int(most).bit_length()):
+        on = on.unionByName(on.join(jump, "x").select(F.col("parent").alias("x"))).checkpoint()
+        if k + 1 < int(most).bit_length():
+            jump = jump.join(jump.select(F.col("x").alias("parent"), F.col("parent").alias("next")), "parent").select("x", F.col("next").alias("parent")).checkpoint()
+    return on.distinct().join(found, "x").select(F.col("distance").alias("step"), *place_of()).select("board_id", "step", "r", "c")
 
 
 def loop_order(edges: DataFrame, starts: DataFrame, most_rounds: int = BITS) -> DataFrame:

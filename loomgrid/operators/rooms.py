@@ -66,33 +66,6 @@ def audit_nuritwin(cells: DataFrame, borders: DataFrame, states: DataFrame) -> D
     return verdict(cells, placed.filter("v = 0"), grid.block_2x2(black, 1), split, wrong)
 
 
-def first_paths(cells: DataFrame, links: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
-    """(board_id, path): one shortest path from each board's start to its goal, as an array of places.
-
-    Level by level; a place takes the parent of the lowest rank, and of one
-    parent's neighbours those above, below, left and right are ranked in this
-    order.  Boards whose goal is reached leave the loop; paths are no longer
-    than their boards.
-    """
-    graph.ensure_checkpoints(cells)
-    one = links.select(*PLACE, "nr", "nc")
-    both = one.unionByName(one.select("board_id", F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("nr"), F.col("c").alias("nc"))).distinct().checkpoint()
-    place = F.struct("r", "c")
-    front = starts.select(*PLACE, F.lit(0).alias("rank"), F.array(place).alias("path")).checkpoint()
-    last, done = front.limit(0), None  # neighbours of a level are in it or in one of the two beside it
-    while True:
-        hit = front.join(goals.select(*PLACE), PLACE, "left_semi").select("board_id", "path")
-        done = (hit if done is None else done.unionByName(hit)).checkpoint()
-        near = last.select(*PLACE).unionByName(front.select(*PLACE))
-        step = front.join(done.select("board_id"), "board_id", "left_anti").join(both, PLACE).join(near.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["board_id", "nr", "nc"], "left_anti")
-        way = F.when(F.col("nr") < F.col("r"), 0).when(F.col("nr") > F.col("r"), 1).when(F.col("nc") < F.col("c"), 2).otherwise(3)
-        met = step.groupBy("board_id", F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.min(F.struct("rank", way.alias("way"))).alias("k"), F.min_by("path", F.struct("rank", way.alias("way"))).alias("path"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("board_id").orderBy("k")))
-        last, front = front, ranked.select(*PLACE, "rank", F.concat("path", F.array(place)).alias("path")).checkpoint()
-        if not front.limit(1).count():
-            return done
-
-
 def audit_nurimaze(cells: DataFrame, borders: DataFrame, rooms: DataFrame) -> DataFrame:
     """Every room is set; no 2 x 2 block of black (1) or of others; the others are one piece; the way from S (3) to G (4) has all circles (1) and no triangle (2).
 
@@ -107,9 +80,10 @@ def audit_nurimaze(cells: DataFrame, borders: DataFrame, rooms: DataFrame) -> Da
     boards = cells.select("board_id").distinct()
     split = boards.join(whole, "board_id", "left").filter("k is null or k > 1")
     ends = [full.filter(f"v = {v}").groupBy("board_id").agg(F.max(F.struct("r", "c")).alias("p")).select("board_id", "p.r", "p.c") for v in (3, 4)]
-    paths = first_paths(open_, grid.neighbours(open_), *ends)
-    lost = boards.join(paths, "board_id", "left_anti")
-    on = paths.select("board_id", F.explode("path").alias("p")).select("board_id", "p.r", "p.c")
+    # The search leaves S whatever its room is.
+    free = open_.select(*PLACE).unionByName(ends[0]).distinct().withColumn("v", F.lit(0))
+    on = graph.path_steps(grid.neighbours(free), *ends).select(*PLACE)
+    lost = boards.join(on, "board_id", "left_anti")
     off = cells.filter("v = 1").join(on, PLACE, "left_anti")
     return verdict(cells, full.filter("state = 0"), grid.block_2x2(shade, 1), grid.block_2x2(shade, 0), split, lost, off, cells.filter("v = 2").join(on, PLACE, "left_semi"))
 

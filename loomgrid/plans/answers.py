@@ -102,6 +102,15 @@ def gates(t: Tables):
     return one.unionByName(one.withColumns({"gate": F.lit(1), "orientation": F.lit("h"), "line": F.expr("cast(1 + board_id % 3 as int)"), "hi": F.lit(0)}))
 
 
+#: Free places of a maze; the way goes from the first to the last of them.
+FREE = "case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end"
+
+
+def maze_ends(t: Tables):
+    free = boards.states(t, FREE).filter("v = 0").groupBy("board_id").agg(F.min(F.struct("r", "c")).alias("s"), F.max(F.struct("r", "c")).alias("g"))
+    return free.select("board_id", "s.r", "s.c"), free.select("board_id", "g.r", "g.c")
+
+
 QUERIES = {f"extract_{k.replace('-', '_')}": (extracted(k), extract_sql(k)) for k in answers.LAYERS if k != "sudoku"}
 QUERIES |= {
     "extract_sudoku": (
@@ -159,12 +168,23 @@ QUERIES |= {
            WHERE r < m AND c < n AND (r = 0 OR c = 0 OR r = m - 1 OR c = n - 1)""",
     ),
     "shortest_path": (
-        lambda t: graph.shortest_path(
-            boards.states(t, SAME), grid.neighbours(boards.states(t, "case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end")).filter("v = 0 and nv = 0"), boards.states(t, "case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end").filter("v = 0").groupBy("board_id").agg(F.min(F.struct("r", "c")).alias("p")).select("board_id", "p.r", "p.c")
-        ),
-        f"""WITH RECURSIVE {cell_sql(*STATES, 'case when (r + 2 * c + board_id) % 5 = 0 then 1 else 0 end')}, free AS (SELECT board_id, r, c FROM cells WHERE v = 0),
+        lambda t: graph.shortest_path(boards.states(t, FREE), grid.neighbours(boards.states(t, FREE)).filter("v = 0 and nv = 0"), maze_ends(t)[0]),
+        f"""WITH RECURSIVE {cell_sql(*STATES, FREE)}, free AS (SELECT board_id, r, c FROM cells WHERE v = 0),
            walk AS (SELECT board_id, min(r * 1024 + c) AS x, 0 AS d FROM free GROUP BY ALL
              UNION SELECT w.board_id, f.r * 1024 + f.c, w.d + 1 FROM walk w JOIN free f ON f.board_id = w.board_id AND abs(f.r - w.x // 1024) + abs(f.c - w.x % 1024) = 1 WHERE w.d < 40)
            SELECT board_id, CAST(x // 1024 AS INTEGER) AS r, CAST(x % 1024 AS INTEGER) AS c, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY board_id, x""",
     ),
+    # Of all shortest ways that is taken whose turns, read as up, down, left and right from the start, come first.
+    "shortest_path_steps": (
+        lambda t: graph.path_steps(grid.neighbours(boards.states(t, FREE)).filter("v = 0 and nv = 0"), *maze_ends(t)),
+        f"""WITH RECURSIVE {cell_sql(*STATES, FREE)}, free AS (SELECT board_id, r * 1024 + c AS x FROM cells WHERE v = 0),
+           ends AS (SELECT board_id, min(x) AS s, max(x) AS g FROM free GROUP BY ALL),
+           moves AS (SELECT a.board_id, a.x, b.x AS y, CASE b.x - a.x WHEN -1024 THEN '0' WHEN 1024 THEN '1' WHEN -1 THEN '2' ELSE '3' END AS way FROM free a JOIN free b ON b.board_id = a.board_id AND abs(a.x // 1024 - b.x // 1024) + abs(a.x % 1024 - b.x % 1024) = 1),
+           far AS (SELECT board_id, s AS x, 0 AS d FROM ends UNION SELECT f.board_id, y, d + 1 FROM far f JOIN moves USING (board_id, x) WHERE d < 40),
+           dist AS (SELECT board_id, x, min(d) AS d FROM far GROUP BY ALL),
+           way AS (SELECT board_id, s AS x, 0 AS d, '' AS turns, [s] AS xs FROM ends
+             UNION ALL SELECT w.board_id, m.y, w.d + 1, min(w.turns || m.way), arg_min(list_append(w.xs, m.y), w.turns || m.way) FROM way w JOIN moves m ON m.board_id = w.board_id AND m.x = w.x JOIN dist t ON t.board_id = m.board_id AND t.x = m.y AND t.d = w.d + 1 GROUP BY w.board_id, m.y, w.d + 1),
+           won AS (SELECT e.board_id, xs FROM ends e JOIN way w ON w.board_id = e.board_id AND w.x = e.g)
+           SELECT board_id, CAST(i - 1 AS INTEGER) AS step, CAST(xs[i] // 1024 AS INTEGER) AS r, CAST(xs[i] % 1024 AS INTEGER) AS c FROM (SELECT board_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM won)""",
+    ),
 }

@@ -81,6 +81,8 @@ def test_nurimaze_rules(spark):
         # Around a black cell two ways are as short: down goes before right, so that the circle has to be on the left.
         9: ("300 000 104", "222 212 222", True),
         10: ("301 000 004", "222 212 222", False),
+        11: ("300 000 004", "122 212 222", True),  # the search leaves S though its room is black
+        12: ("300 000 004", "222 212 221", False),  # the goal is black
     }
     cells, edges, states = [], [], []
     for k, (kind, state, _) in boards.items():
