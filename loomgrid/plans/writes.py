@@ -37,22 +37,32 @@ def latest(t: Tables):
     rows = feed.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("attempt"), F.least(F.col("value") / 500, F.lit(1.0)).alias("progress"), F.floor(F.col("value") * 60).cast("int").alias("elapsed_seconds"), (F.col("event_type") == "purchase").alias("finished"), F.col("ts").alias("created_at")
     )
-    return feeds.stream_latest_snapshot(rows, tables.shared_folder(t.spark, "latest"))
+    return feeds.stream_latest_snapshot(rows, tables.shared_folder(t.spark, "latest"), "60 days")
 
 
 def achieved(t: Tables, attempts):
-    """(player, achievement_id) of all definitions, collections included."""
-    whole = stats.completed_collections(membership(t), attempts)
+    """(player, achievement_id) of all definitions; collections are completed by players folded to ten."""
+    whole = stats.completed_collections(membership(t), attempts.withColumn("player", F.col("player") % 10))
     return stats.evaluate_achievements(stats.metrics(stats.solved_by_type_difficulty(t.questions, attempts), whole), definitions(t))
 
 
+def finishes(t: Tables, lines):
+    """Finished attempts with what is known of their questions; each once for its player, and once for one of ten further players."""
+    orders = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player"))
+    inside = membership(t)
+    known = t.questions.select(F.col("id").alias("question"), "puzzle_type", "difficulty").join(inside, "question").join(inside.groupBy("collection").agg(F.count("*").alias("size")), "collection")
+    own = lines.filter("l_linestatus = 'F' and l_shipdate is not null").join(orders, "l_orderkey").select(F.explode(F.array("player", -1 - F.col("player") % 10)).alias("player"), F.col("l_partkey").alias("question"))
+    return own.join(known, "question")
+
+
 def unlocks(t: Tables):
     feed = t.spark.readStream.schema(t.read("lineitem").schema).parquet(f"{t.sf_dir}/lineitem*.parquet")
-    orders = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player"))
-    rows = feed.join(orders, "l_orderkey").select("player", F.col("l_partkey").alias("question"), F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("finished_at"))
-    return feeds.stream_unlocks(rows, lambda attempts: achieved(t, attempts), tables.shared_folder(t.spark, "unlocks"), "player long, question long, finished_at timestamp_ntz")
+    return feeds.stream_unlocks(finishes(t, feed), definitions(t), tables.shared_folder(t.spark, "unlocks"))
 
 
+#: Achievements of the players and of ten further ones.
+DOUBLED = "doubled AS (SELECT player, question, finished_at FROM attempts UNION ALL SELECT -1 - player % 10, question, finished_at FROM attempts)"
+REACHED_BY_FEED = f"{DOUBLED}, " + REACHED.replace("FROM attempts a", "FROM doubled a").replace("SELECT player % 10 AS player, question, finished_at FROM attempts", "SELECT player, question, finished_at FROM doubled")
 QUERIES = {
     "image_manifest": (
         lambda t: tables.image_manifest(t.questions.select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("__MACOSX/"), "id", F.lit(".png"))).when(F.col("id") % 3 == 1, F.concat(F.lit("a/"), "id", F.lit(".PNG"))).otherwise(F.concat("id", F.lit(".txt"))).alias("path"))),
@@ -97,11 +107,11 @@ QUERIES = {
     ),
     "unlock_append": (
         lambda t: (lambda x: ingest.unlock_append(x.filter("player % 3 = 0"), x.unionByName(x)))(achieved(t, t.attempts)),
-        CTE + f", {REACHED} SELECT player, achievement_id FROM reached WHERE player % 3 <> 0 AND achievement_id NOT LIKE 'collection%'",
+        CTE + f", {REACHED} SELECT player, achievement_id FROM reached WHERE player % 3 <> 0",
     ),
     "stream_latest_snapshot": (
         latest,
         CTE + "SELECT id, attempt, progress, elapsed_seconds, finished, created_at FROM snapshots QUALIFY row_number() OVER (PARTITION BY attempt ORDER BY created_at DESC, id DESC) = 1",
     ),
-    "stream_unlocks": (unlocks, CTE + f", {REACHED} SELECT player, achievement_id FROM reached WHERE achievement_id NOT LIKE 'collection%'"),
+    "stream_unlocks": (unlocks, CTE + f", {REACHED_BY_FEED} SELECT player, achievement_id FROM reached"),
 }
