@@ -1,14 +1,11 @@
-"""Audits of boards with rooms and gates, gates from recognised cells, and the rules by kind of board."""
+"""Audits of boards with rooms and gates, and gates from recognised cells."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.operators import answers, audit, graph, grid
+from loomgrid.operators import audit, graph, grid
 from loomgrid.operators.audit import verdict
 
 PLACE = ["board_id", "r", "c"]
@@ -167,26 +164,3 @@ def start_and_count(cells: DataFrame, gates: DataFrame) -> DataFrame:
     every = cells.select("board_id").distinct().join(circle, "board_id", "left").join(count, "board_id", "left")
     some = F.when(F.col("s.value") != 0, F.col("s.value"))
     return every.select("board_id", F.coalesce("s.r", F.lit(0)).alias("row"), F.coalesce("s.c", F.lit(0)).alias("col"), F.coalesce(some.cast("long"), "n", F.lit(0)).alias("gate_count"))
-
-
-class Rules(NamedTuple):
-    """What is known of a kind of board: its progress and the audit of a finished one."""
-
-    progress: Callable[..., DataFrame] | None
-    audit: Callable[..., DataFrame] | None
-
-
-#: Every kind of board; documents of all are validated by ``quality.validate``.
-RULES = {
-    "sudoku": Rules(grid.progress_filled, grid.audit_sudoku),
-    "combo-sudoku": Rules(grid.progress_filled, audit.audit_combo),
-    "nurimaze": Rules(grid.progress_filled, audit_nurimaze),
-    "double-choco": Rules(graph.progress_double_choco, audit_double_choco),
-    "slitherlink": Rules(grid.progress_touched, audit.audit_slitherlink),
-    "nonogram": Rules(grid.progress_filled, grid.audit_nonogram),
-    "masyu": Rules(grid.progress_touched, audit.audit_masyu),
-    "pencils": Rules(answers.progress_pencils, None),
-    "nuritwin": Rules(grid.progress_filled, audit_nuritwin),
-    "slalom": Rules(answers.progress_slalom, audit_slalom),
-    "shakashaka": Rules(grid.progress_filled, None),
-}

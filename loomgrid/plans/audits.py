@@ -28,11 +28,14 @@ def rings(t: Tables, whole: bool = False):
     return sized.withColumn("v", F.expr(f"case when ({full}) and not ({lost}) or {inner} and m > 4 and n > 4 then 1 else 0 end")).select("board_id", "layer", "r", "c", "v")
 
 
-def slitherlink(t: Tables):
+def slitherlink_cells(t: Tables):
     cells = boards.cells(t, F.expr("3 + board_id % 4"), F.expr("3 + board_id % 5"), "0")
     drawn = grid.sides(rings(t, whole=True)).groupBy("board_id", "r", "c").agg(F.count("*").cast("int").alias("n"))
-    given = cells.join(drawn, ["board_id", "r", "c"], "left").select("board_id", "r", "c", F.when((F.col("r") + F.col("c")) % 4 == 3, -1).otherwise(F.coalesce("n", F.lit(0))).alias("v"))
-    return audit.audit_slitherlink(given, rings(t))
+    return cells.join(drawn, ["board_id", "r", "c"], "left").select("board_id", "r", "c", F.when((F.col("r") + F.col("c")) % 4 == 3, -1).otherwise(F.coalesce("n", F.lit(0))).alias("v"))
+
+
+def slitherlink(t: Tables):
+    return audit.audit_slitherlink(slitherlink_cells(t), rings(t))
 
 
 #: A black circle in the corner and a white one beside it; wrong ones for some boards.

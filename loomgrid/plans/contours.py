@@ -55,17 +55,18 @@ LAYER_VALUE = f"""case when layer = 'hd' then case when ({ALONG} = {K} and ({ACR
   when (layer = 'th' and board_id % 2 = 0 and c >= {K} or layer = 'tv' and board_id % 2 = 1 and r >= {K} or layer = 'eh' and board_id % 2 = 0 or layer = 'ev' and board_id % 2 = 1) <> ({CHANGED}) then 1 else 0 end"""
 
 
-def pencils(t: Tables):
+def pencil_tables(t: Tables):
+    """Boards and answers."""
     sized = boards.boards(t).select("board_id", *[F.expr(x).cast("int").alias(k) for k, x in zip("mn", PENCIL, strict=True)])
     drawn = answers.skeleton(sized, "pencils").withColumn("v", F.expr(LAYER_VALUE).cast("int"))
-    return trails.audit_pencils(boards.cells(t, *[F.expr(x) for x in PENCIL], PENCIL_CELL), drawn)
+    return boards.cells(t, *[F.expr(x) for x in PENCIL], PENCIL_CELL), drawn
 
 
-def _layer_sql(layer: answers.Layer) -> str:
+def layer_sql(layer: answers.Layer) -> str:
     return f"SELECT board_id, '{layer.name}' AS layer, r, c FROM cells WHERE r < {PENCIL[0]} + {layer.rows} AND c < {PENCIL[1]} + {layer.columns}"
 
 
-PENCILS_SQL = f"""WITH RECURSIVE {cell_sql(*PENCIL, PENCIL_CELL)}, places AS ({' UNION ALL '.join(_layer_sql(x) for x in answers.LAYERS['pencils'])}),
+PENCILS_SQL = f"""WITH RECURSIVE {cell_sql(*PENCIL, PENCIL_CELL)}, places AS ({' UNION ALL '.join(layer_sql(x) for x in answers.LAYERS['pencils'])}),
 drawn AS (SELECT *, {LAYER_VALUE} AS v FROM places),
 g AS (SELECT c.board_id, c.r, c.c, c.r * 1024 + c.c AS x, c.v, CASE WHEN c.v < 0 THEN c.v ELSE least(d.v, 0) END AS d FROM cells c JOIN drawn d ON d.board_id = c.board_id AND d.r = c.r AND d.c = c.c AND layer = 'hd'),
 heads AS (SELECT board_id, x AS h, d, x + CASE d WHEN -1 THEN 1024 WHEN -2 THEN -1024 WHEN -3 THEN 1 ELSE -1 END AS base FROM g WHERE d < 0),
@@ -90,5 +91,5 @@ SELECT p_partkey AS board_id, p_partkey NOT IN (SELECT board_id FROM bad) AND p_
 
 QUERIES = {
     "audit_shakashaka": (lambda t: contours.audit_shakashaka(*[boards.cells(t, *[F.expr(x) for x in SHADED], v) for v in (SHADED_CELL, SHADED_STATE)]), SHAKASHAKA_SQL),
-    "audit_pencils": (pencils, PENCILS_SQL),
+    "audit_pencils": (lambda t: trails.audit_pencils(*pencil_tables(t)), PENCILS_SQL),
 }

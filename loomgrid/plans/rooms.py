@@ -50,15 +50,15 @@ def nurimaze(t: Tables):
 SLALOM_WALL = "case when board_id % 4 = 3 and r = 0 and c = 1 then 1 else 0 end"
 
 
-def slalom(t: Tables):
-    """The border ring through two gates, numbered forwards, backwards or wrongly."""
+def slalom_tables(t: Tables):
+    """Boards, starts, gates and their number; the border ring goes through two gates, numbered forwards, backwards or wrongly."""
     every = boards.boards(t)
     number = "cast(case when board_id % 4 = 1 then 2 - gate when board_id % 4 = 2 and gate = 1 then 3 else gate + 1 end as int)"
     both = every.select("board_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("gate"))
     gates = both.select("board_id", "gate", F.expr("if(gate = 0, 'v', 'h') as orientation"), F.expr("if(gate = 0, 2, 1) as line"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.expr(number).alias("number"))
     starts = every.select("board_id", F.lit(0).alias("r"), F.lit(0).alias("c"))
     cells = boards.cells(t, F.expr("4 + board_id % 4"), F.expr("4 + board_id % 5"), SLALOM_WALL)
-    return rooms.audit_slalom(cells, starts, gates, every.select("board_id", F.lit(2).alias("gate_count")), boards.ring(t))
+    return cells, starts, gates, every.select("board_id", F.lit(2).alias("gate_count"))
 
 
 #: Dashed cells of column 2 and row 3, arrows of column 1 to the right, a circle in a corner of some boards.
@@ -123,7 +123,7 @@ QUERIES = {
     "audit_double_choco": (double_choco, "SELECT p_partkey AS board_id, p_partkey % 3 = 0 AND p_partkey % 5 <> 4 AS passed FROM part"),
     "audit_nuritwin": (nuritwin, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 6) AS passed FROM part"),
     "audit_nurimaze": (nurimaze, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 1) AS passed FROM part"),
-    "audit_slalom": (slalom, "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 1) AS passed FROM part"),
+    "audit_slalom": (lambda t: rooms.audit_slalom(*slalom_tables(t), boards.ring(t)), "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 1) AS passed FROM part"),
     "infer_gates": (
         lambda t: rooms.infer_gates(typed(t)),
         f"{TYPED_SQL} SELECT board_id, CAST(gate AS INTEGER) AS gate, orientation, CAST(line AS INTEGER) AS line, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM gates",

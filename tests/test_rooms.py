@@ -122,10 +122,10 @@ def test_slalom_rules(spark):
 
 
 def test_every_kind_has_rules():
-    from loomgrid.operators import quality
+    from loomgrid.operators import quality, registry
 
-    assert set(rooms.RULES) == set(quality.KINDS.values())
-    assert all(r.progress for r in rooms.RULES.values())
+    assert set(registry.RULES) == set(quality.KINDS.values())
+    assert all(r.progress and r.audit for r in registry.RULES.values())
 
 
 @pytest.mark.parametrize(
