@@ -62,19 +62,40 @@ def overlapping_parts(parts: DataFrame) -> DataFrame:
     return near.select("board_id", F.col("sub_idx").alias("i"), "j")
 
 
-def reconcile_overlaps(subcells: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells filled from the overlapping part, cells on which both parts disagree).
+def reconcile_overlaps(subcells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells with repaired blanks, disagreements, boards on which more than two parts meet in a cell).
 
-    ``subcells``: (board_id, sub_idx, r, c, gr, gc, v).
+    ``subcells``: (board_id, sub_idx, r, c, gr, gc, v).  The pairs of parts that meet in a cell (0 < dx < 3 and
+    0 < dy < 3 in boxes, in list order) are gone through one after the other, so that a pair sees what earlier
+    ones repaired: a blank takes the other's digit, and two digits that differ stay and are noted
+    (board_id, i, j, gr, gc, vi, vj).  A cell has at most as many values as its board has parts.
     """
-    pairs = overlapping_parts(parts)
-    a = subcells.select("board_id", F.col("sub_idx").alias("i"), "gr", "gc", F.col("v").alias("vi"))
-    b = subcells.select("board_id", F.col("sub_idx").alias("j"), "gr", "gc", F.col("v").alias("vj"))
-    met = pairs.join(a, ["board_id", "i"]).join(b, ["board_id", "j", "gr", "gc"])
-    sides = F.explode(F.array(F.struct(F.col("i").alias("sub_idx"), F.col("vj").alias("fill")), F.struct(F.col("j").alias("sub_idx"), F.col("vi").alias("fill")))).alias("s")
-    fills = met.select("board_id", "gr", "gc", sides).select("board_id", "gr", "gc", "s.*").filter("fill > 0").groupBy("board_id", "sub_idx", "gr", "gc").agg(F.max("fill").alias("fill"))
-    filled = subcells.join(fills, ["board_id", "sub_idx", "gr", "gc"], "left").withColumn("v", F.when(F.col("v") == 0, F.coalesce("fill", F.lit(0))).otherwise(F.col("v"))).drop("fill")
-    return filled, met.filter("vi > 0 and vj > 0 and vi <> vj").select("board_id", "i", "j", "gr", "gc", "vi", "vj")
+    part = F.struct("sub_idx", "v", ((F.col("gc") - F.col("c")) / 3).alias("x"), ((F.col("gr") - F.col("r")) / 3).alias("y"), "r", "c")
+    cells = subcells.groupBy("board_id", "gr", "gc").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    single, shared = cells.filter(F.size("parts") == 1), cells.filter(F.size("parts") > 1)
+
+    def near(a: Column, b: Column) -> Column:
+        return (b["x"] - a["x"]).between(1, 2) & (b["y"] - a["y"]).between(1, 2)
+
+    at = F.sequence(F.lit(0), F.size("parts") - 1)
+    pairs = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: (i < j) & near(F.get("parts", i), F.get("parts", j))), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    none = F.array().cast("array<struct<i:int,j:int,vi:int,vj:int>>")
+
+    def step(held: Column, p: Column) -> Column:
+        values, met = held["values"], held["met"]
+        a, b = F.get(values, p["i"]), F.get(values, p["j"])
+        filled = F.transform(values, lambda v, k: F.when((k == p["i"]) & (a == 0), b).when((k == p["j"]) & (b == 0), a).otherwise(v))
+        noted = F.when((a != 0) & (b != 0) & (a != b), F.array(F.struct(F.get("parts", p["i"])["sub_idx"].cast("int").alias("i"), F.get("parts", p["j"])["sub_idx"].cast("int").alias("j"), a.alias("vi"), b.alias("vj")))).otherwise(none)
+        return F.struct(filled.alias("values"), F.concat(met, noted).alias("met"))
+
+    begin = F.struct(F.transform("parts", lambda x: x["v"].cast("int")).alias("values"), none.alias("met"))
+    folded = shared.withColumn("held", F.aggregate(pairs, begin, step))
+    zipped = F.zip_with("parts", "held.values", lambda x, v: F.struct(x["sub_idx"].alias("sub_idx"), x["r"].alias("r"), x["c"].alias("c"), v.alias("v")))
+    as_is = F.transform("parts", lambda x: F.struct(x["sub_idx"].alias("sub_idx"), x["r"].alias("r"), x["c"].alias("c"), x["v"].cast("int").alias("v")))
+    rows = folded.select("board_id", "gr", "gc", F.explode(zipped).alias("x")).unionByName(single.select("board_id", "gr", "gc", F.explode(as_is).alias("x")))
+    repaired = rows.select("board_id", "x.sub_idx", "x.r", "x.c", "gr", "gc", "x.v")
+    unlike = folded.select("board_id", "gr", "gc", F.explode("held.met").alias("m")).select("board_id", "m.i", "m.j", "gr", "gc", "m.vi", "m.vj")
+    return repaired, unlike, shared.filter(F.size("parts") > 2).select("board_id").distinct()
 
 
 def pad_clue_lists(clues: Column, lines: Column) -> Column:

@@ -8,6 +8,7 @@ and every rule has the same signature: games of one kind in, a row per board out
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 from typing import NamedTuple
 
@@ -165,9 +166,14 @@ def split(games: DataFrame) -> dict[str, DataFrame]:
 
 
 def judged_by(parts: dict[str, DataFrame], what: Callable[[Rules], Callable[[Games], DataFrame]], empty: str) -> DataFrame:
-    """The rows that one rule of every kind gives, in one table."""
+    """The rows that one rule of every kind gives, in one table.
+
+    Kinds are independent and many of their loops are short, so their jobs are submitted side by side.
+    """
     spark = next(iter(parts.values())).sparkSession
-    made = [what(RULES[kind])(Games(rows, kind)) for kind, rows in parts.items() if kind]
+    kinds = [kind for kind in parts if kind]
+    with ThreadPoolExecutor(max(1, len(kinds))) as pool:
+        made = list(pool.map(lambda kind: what(RULES[kind])(Games(parts[kind], kind)), kinds))
     return reduce(DataFrame.unionByName, made, spark.createDataFrame([], empty))
 
 

@@ -48,18 +48,25 @@ def parts(t: Tables):
     return one.unionByName(one.withColumns({"sub_idx": F.lit(1), "x": shift, "y": shift}))
 
 
+#: What three parts on a diagonal show: a solved board with blanks, and other digits on some boards.
+TORN_V = "(3 * gr + cast(floor(gr / 3.0) as int) + gc + board_id) % 9 + 1"
+TORN_SHOWN = f"case when (gr + 2 * gc + sub_idx + board_id) % 3 = 0 then 0 when board_id % 6 = 0 and (gr + gc + sub_idx) % 5 = 0 then {TORN_V} % 9 + 1 else {TORN_V} end"
+
+
 def torn(t: Tables):
-    """Parts at (0, 0) and (2, 2); overlap cells are blank in one of them, or differ."""
-    v = "case when gr >= 6 and gr < 9 and gc >= 6 and gc < 9 and (gr + gc + sub_idx) % 2 = 0 then 0 when board_id % 6 = 0 and gr = 7 and gc = 7 and sub_idx = 1 then v % 9 + 1 else v end"
-    return solved_combo(t).withColumn("v", F.expr(v))
+    """Parts at (0, 0), (1, 1) and (2, 2), of which up to three meet in a cell."""
+    one = boards.sudoku(t, "0").select("board_id", "r", "c", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sub_idx"))
+    return one.withColumns({"gr": F.col("r") + 3 * F.col("sub_idx"), "gc": F.col("c") + 3 * F.col("sub_idx")}).withColumn("v", F.expr(TORN_SHOWN).cast("int"))
 
 
-def two_parts(t: Tables):
-    one = boards.boards(t).select("board_id", F.lit(0).alias("sub_idx"), F.lit(0).alias("x"), F.lit(0).alias("y"))
-    return one.unionByName(one.withColumns({k: F.lit(n) for k, n in (("sub_idx", 1), ("x", 2), ("y", 2))}))
+#: The values of a place in one row, and the three pairs one after the other.
+TORN_SQL = f"""WITH {cell_sql('9', '9', '0')}, s AS (SELECT board_id, k AS sub_idx, r + 3 * k AS gr, c + 3 * k AS gc FROM cells, range(3) x(k)), d AS (SELECT *, {TORN_SHOWN} AS v FROM s),
+p AS (SELECT board_id, gr, gc, max(v) FILTER (sub_idx = 0) AS a, max(v) FILTER (sub_idx = 1) AS b, max(v) FILTER (sub_idx = 2) AS c FROM d GROUP BY ALL),
+p1 AS (SELECT * REPLACE (CASE WHEN a = 0 THEN coalesce(b, a) ELSE a END AS a, CASE WHEN b = 0 THEN coalesce(a, b) ELSE b END AS b), a <> b AND a > 0 AND b > 0 AS m1 FROM p),
+p2 AS (SELECT * REPLACE (CASE WHEN a = 0 THEN coalesce(c, a) ELSE a END AS a, CASE WHEN c = 0 THEN coalesce(a, c) ELSE c END AS c), a <> c AND a > 0 AND c > 0 AS m2 FROM p1),
+p3 AS (SELECT * REPLACE (CASE WHEN b = 0 THEN coalesce(c, b) ELSE b END AS b, CASE WHEN c = 0 THEN coalesce(b, c) ELSE c END AS c), b <> c AND b > 0 AND c > 0 AS m3 FROM p2)"""
 
 
-TORN_V = "(3 * gr + CAST(floor(gr / 3.0) AS INTEGER) + gc + board_id) % 9 + 1"
 QUERIES = {
     "audit_combo": (lambda t: audit.audit_combo(solved_combo(t)), "SELECT p_partkey AS board_id, p_partkey % 4 > 1 AS passed FROM part"),
     "audit_slitherlink": (
@@ -89,12 +96,12 @@ QUERIES = {
     ),
     "overlap_self_join": (lambda t: audit.overlapping_parts(parts(t)), "SELECT p_partkey AS board_id, 0 AS i, 1 AS j FROM part WHERE p_partkey % 3 < 2"),
     "reconcile_overlaps": (
-        lambda t: audit.reconcile_overlaps(torn(t), two_parts(t))[0].select("board_id", "sub_idx", "gr", "gc", "v"),
-        f"""WITH {COMBO}, b AS (SELECT board_id, sub_idx, gr, gc, gr BETWEEN 6 AND 8 AND gc BETWEEN 6 AND 8 AS inside,
-             CASE WHEN board_id % 4 = 0 AND gr = 0 AND gc = 0 THEN (1 + board_id) % 9 + 1 WHEN board_id % 4 = 1 AND gr = 14 AND gc = 14 THEN 0 ELSE {TORN_V} END AS s FROM subcells),
-           d AS (SELECT *, CASE WHEN inside AND (gr + gc + sub_idx) % 2 = 0 THEN 0 WHEN board_id % 6 = 0 AND gr = 7 AND gc = 7 AND sub_idx = 1 THEN s % 9 + 1 ELSE s END AS v FROM b)
-           SELECT x.board_id, CAST(x.sub_idx AS INTEGER) AS sub_idx, CAST(x.gr AS INTEGER) AS gr, CAST(x.gc AS INTEGER) AS gc, CAST(CASE WHEN x.v = 0 AND x.inside THEN y.v ELSE x.v END AS INTEGER) AS v
-           FROM d x LEFT JOIN d y ON y.board_id = x.board_id AND y.sub_idx = 1 - x.sub_idx AND y.gr = x.gr AND y.gc = x.gc""",
+        lambda t: audit.reconcile_overlaps(torn(t))[0].select("board_id", "sub_idx", "gr", "gc", "v"),
+        TORN_SQL + " UNION ALL ".join(f" SELECT board_id, {k} AS sub_idx, CAST(gr AS INTEGER) AS gr, CAST(gc AS INTEGER) AS gc, CAST({x} AS INTEGER) AS v FROM p3 WHERE {x} IS NOT NULL" for k, x in enumerate("abc")),
+    ),
+    "overlap_disagreements": (
+        lambda t: (lambda made: made[1].groupBy("board_id").agg(F.count("*").alias("n")).join(made[2].withColumn("ambiguous", F.lit(True)), "board_id", "left"))(audit.reconcile_overlaps(torn(t))),
+        TORN_SQL + " SELECT board_id, CAST(count(*) FILTER (m1) + count(*) FILTER (m2) + count(*) FILTER (m3) AS BIGINT) AS n, true AS ambiguous FROM p3 GROUP BY ALL HAVING n > 0",
     ),
     "pad_clue_lists": (
         lambda t: boards.boards(t).select("board_id", F.to_json(audit.pad_clue_lists(F.array(F.array(F.col("size")), F.array(F.lit(2), F.lit(3))), (F.col("board_id") % 4).cast("int"))).alias("clues")),
