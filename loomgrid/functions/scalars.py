@@ -30,6 +30,12 @@ def percent_round(fraction: Column) -> Column:
     return F.floor(fraction * 100 + 0.5)
 
 
+def percent_text(percent: Column) -> Column:
+    """A percentage with one decimal, halves up."""
+    tenths = F.floor(percent * 10 + 0.5).cast("long")
+    return F.concat(F.expr("''"), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" %"))
+
+
 def board_area(width: Column, height: Column) -> Column:
     return F.coalesce(width, F.lit(0)) * F.coalesce(height, F.lit(0))
 

@@ -8,6 +8,7 @@ keys tell a missing field from a null one.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,7 @@ class Grid(NamedTuple):
 
 
 NINE = {"rows": (9, 9), "columns": (9, 9)}
-#: Matrices of each document kind by its name.
+#: Matrices of each document kind by its name (fixed values of the published schemas).
 GRIDS: dict[str, tuple[Grid, ...]] = {
     "sudoku": (Grid("hints", 0, 9, **NINE),),
     "nurimaze": (Grid("cells", 0, 4, (1, None)),),
@@ -66,7 +67,7 @@ GRIDS: dict[str, tuple[Grid, ...]] = {
     "slalom": (Grid("cells", 0, 1, (1, None), (1, None)),),
     "shakashaka": (Grid("cells", -1, 5, (1, None)),),
 }
-#: Type ids of the kinds.
+#: Type ids of the kinds (fixed values).
 KINDS = {1: "sudoku", 2: "combo-sudoku", 3: "nurimaze", 4: "double-choco", 5: "slitherlink", 6: "nonogram", 7: "masyu", 8: "pencils", 9: "nuritwin", 10: "slalom", 11: "shakashaka"}
 
 
@@ -185,6 +186,67 @@ def validate_shape(cells: Column, h: Column, v: Column) -> Column:
     )
 
 
+def _second(kind: str, text: Column) -> list[Column]:
+    """Reasons of the second tier for one kind."""
+
+    def told(wrong: Column, name: str) -> Column:
+        return F.when(F.coalesce(wrong, F.lit(False)), F.lit(name))
+
+    def outside(grid: Column, low: int, high: int | None = None) -> Column:
+        return ~every(grid, lambda row: every(row, lambda v: whole(v, low, high)))
+
+    def sized(grid: Column, rows: Column, columns: Column) -> Column:
+        return (F.size(grid) == rows) & every(grid, lambda row: F.size(row) == columns)
+
+    nine = lambda grid: ~sized(grid, F.lit(9), F.lit(9))
+    if kind == "sudoku":
+        hints = F.from_json(text, f"hints {GRID}")["hints"]
+        return [told(hints.isNull(), "unreadable"), told(nine(hints), "shape"), told(outside(hints, 0, 9), "range")]
+    if kind == "combo-sudoku":
+        parts = F.from_json(text, f"subboards array<struct<hints:{GRID}>>")["subboards"]
+        return [told(parts.isNull(), "unreadable"), told(F.exists(parts, lambda b: nine(b["hints"])), "shape"), told(F.exists(parts, lambda b: outside(b["hints"], 0, 9)), "range")]
+    if kind == "nonogram":
+        doc = F.from_json(text, f"rowClues {GRID}, colClues {GRID}")
+        lines = F.concat(doc["rowClues"], doc["colClues"])
+        return [told(lines.isNull(), "unreadable"), told(F.exists(lines, lambda x: F.size(x) == 0), "shape"), told(outside(lines, 0), "range")]
+    if kind == "double-choco":
+        cells = F.from_json(text, f"cells array<{GRID}>")["cells"]
+        pair = lambda p: (F.size(p) == 2) & F.get(p, F.lit(0)).isin(0, 1) & whole(F.get(p, F.lit(1)), 0)
+        wrong = ~every(cells, lambda row: every(row, lambda p: F.coalesce(pair(p), F.lit(False))))
+    else:
+        cells = F.from_json(text, f"cells {GRID}")["cells"]
+        low, high = next((g.low, g.high) for g in GRIDS[kind] if g.name == "cells")
+        wrong = outside(cells, low, high)
+    base = [told(cells.isNull(), "unreadable")]
+    if kind in ("masyu", "pencils", "slitherlink"):
+        return [*base, told(wrong, "range")]
+    m, n = F.size(cells), F.size(F.get(cells, F.lit(0)))
+    least = 1 if kind == "shakashaka" else 2
+    base += [told(~rectangular(cells), "ragged"), told((m < least) | (n < least), "small"), told(wrong, "range")]
+    if kind in ("nurimaze", "nuritwin"):
+        grids = F.from_json(text, f"grids struct<h:{GRID},v:{GRID}>")["grids"]
+        for name, rows, columns in (("h", m - 1, n), ("v", m, n - 1)):
+            base.append(told(~sized(grids[name], rows, columns) | outside(grids[name], 0, 1), name))
+    if kind == "slalom":
+        doc = F.from_json(text, "start struct<row:double,col:double>, gateCount double, gates array<struct<orientation:string,`from`:double,`to`:double,number:double>>")
+        start, gate = doc["start"], lambda g: g["orientation"].isin("h", "v") & (g["from"] <= g["to"]) & (g["number"].isNull() | (g["number"] >= 1))
+        inside = (start["row"] >= 0) & (start["row"] < m) & (start["col"] >= 0) & (start["col"] < n)
+        base += [told(~F.coalesce(inside, F.lit(False)), "start"), told(~F.coalesce(doc["gateCount"] >= 1, F.lit(False)), "gateCount"), told(~every(doc["gates"], lambda g: F.coalesce(gate(g), F.lit(False))), "gates")]
+    return base
+
+
+def validate_second(kind_id: Column, text: Column) -> Column:
+    """Second tier by type: rows of one length and of the least size, grids of the sizes that the cells ask for, a start on the board, gates that go forwards.
+
+    A document that can't be read has this one reason; a type that isn't known has one, too.
+    """
+    out = F.array(F.lit("unknown"))
+    for number, kind in KINDS.items():
+        reasons = _second(kind, text)
+        out = F.when(kind_id == number, F.when(reasons[0].isNotNull(), F.array(reasons[0])).otherwise(_collect(*reasons[1:]))).otherwise(out)
+    return out
+
+
 def derive_dimensions(text: Column) -> Column:
     """(width, height, width_cells) by the keys present: hints, subboards, cells, rowClues.
 
@@ -211,6 +273,15 @@ def fk_check(child: DataFrame, column: str, parent: DataFrame, name: str) -> Dat
     return orphans.groupBy(F.col(column).cast("long").alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "key", "n")
 
 
+def unique_keys(keys: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """(relation, key, n): keys of several tables (name, rows, columns) that occur more than once, as text."""
+    found = []
+    for name, rows, columns in keys:
+        key = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        found.append(unique_check(rows, columns).select(F.lit(name).alias("relation"), key.alias("key"), "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def unique_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")

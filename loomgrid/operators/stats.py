@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.numbering import every_pair
+
 #: Achievement definitions as they are awarded (fixed values).
 STATIC_DEFINITIONS = [
     ("total_solved_1", "First Steps", "Solve your first puzzle", "total", "total", None, 1),
@@ -36,7 +38,7 @@ def question_stats(players: DataFrame, types: DataFrame, questions: DataFrame, a
     totals = kind.groupBy("puzzle_type").agg(F.count("*").alias("total"))
     facts = question_flags(attempts).join(kind, "question").groupBy("player", "puzzle_type").agg(F.count_if("done").alias("solved"), F.count_if(~F.col("done")).alias("tried"))
     # Dimensions only: as many rows as the result has.
-    grid = players.select(F.col("id").alias("player")).crossJoin(F.broadcast(types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))))
+    grid = every_pair(players.select(F.col("id").alias("player")), types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name")))
     zero = F.lit(0).cast("long")
     return (
         grid.join(totals, "puzzle_type", "left")
@@ -53,10 +55,8 @@ def collection_stats(players: DataFrame, types: DataFrame, collections: DataFram
     kinds = types.select(F.col("id").alias("puzzle_type"), F.col("name").alias("type_name"))
     totals = inside.groupBy("src_collection", "puzzle_type").agg(F.count("*").alias("total")).join(names, "src_collection").join(kinds, "puzzle_type")
     solved = question_flags(attempts).filter("done").join(inside, "question").groupBy("player", "src_collection", "puzzle_type").agg(F.count("*").alias("solved"))
-    # As many rows as the result has.
     return (
-        players.select(F.col("id").alias("player"))
-        .crossJoin(F.broadcast(totals))
+        every_pair(players.select(F.col("id").alias("player")), totals)
         .join(solved, ["player", "src_collection", "puzzle_type"], "left")
         .select("player", F.col("src_collection").alias("collection_id"), "collection_name", F.col("puzzle_type").alias("type_id"), "type_name", "total", F.coalesce("solved", F.lit(0).cast("long")).alias("solved"))
     )
@@ -163,7 +163,7 @@ def not_yet_unlocked(reached: DataFrame, existing: DataFrame) -> DataFrame:
 
 def player_x_definition(players: DataFrame, definitions: DataFrame, unlocked: DataFrame) -> DataFrame:
     """Every player against every definition; the result itself has that many rows."""
-    grid = players.select(F.col("id").alias("player")).crossJoin(F.broadcast(definitions.select(F.col("id").alias("achievement_id"), "category")))
+    grid = every_pair(players.select(F.col("id").alias("player")), definitions.select(F.col("id").alias("achievement_id"), "category"))
     have = unlocked.select("player", "achievement_id").withColumn("unlocked", F.lit(True))
     return grid.join(have, ["player", "achievement_id"], "left").withColumn("unlocked", F.coalesce("unlocked", F.lit(False)))
 

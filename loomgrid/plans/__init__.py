@@ -6,11 +6,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.plans import answers, audits, boards, contours, registry, relational, rooms, writes
+from loomgrid.plans import answers, audits, boards, contours, documents, registry, relational, rooms, writes
 from loomgrid.sources.analog import CTE, Tables
 
 #: Queries whose SQL names the boards' formulas itself, without the catalogue's tables.
-PLAIN = boards.QUERIES | answers.QUERIES | audits.QUERIES | rooms.QUERIES | contours.QUERIES | registry.QUERIES | writes.QUERIES
+PLAIN = boards.QUERIES | answers.QUERIES | audits.QUERIES | rooms.QUERIES | contours.QUERIES | documents.QUERIES | registry.QUERIES | writes.QUERIES
 
 
 def _run(build, spark: SparkSession, sf_dir: str) -> DataFrame:

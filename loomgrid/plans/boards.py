@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators import grid, quality
+from loomgrid.plans.relational import REACHED, unlocked
 from loomgrid.sources import boards
 from loomgrid.sources.analog import CTE, Tables
 
@@ -66,7 +67,7 @@ def relation(t: Tables):
     few = t.questions.filter("id % 50 <> 3")
     checks = (
         (t.attempts, "question", few, "attempt.question"), (t.questions, "src_collection", t.collections.filter("id <> 4"), "question.src_collection"), (t.attempts, "player", t.players.filter("id % 9 <> 2"), "attempt.player"),
-        (t.questions, "puzzle_type", t.types.filter("id <> 3"), "question.puzzle_type"), (t.snapshots, "attempt", t.attempt_list, "snapshot.attempt"),
+        (t.questions, "puzzle_type", t.types.filter("id <> 3"), "question.puzzle_type"), (t.snapshots, "attempt", t.attempt_list, "snapshot.attempt"), (unlocked(t), "player", t.players.filter("id % 9 <> 2"), "achievement.player"),
     )
     return reduce(DataFrame.unionByName, [quality.fk_check(*x) for x in checks])
 
@@ -101,16 +102,28 @@ QUERIES |= {
     ),
     "fk_check": (
         relation,
-        CTE + """SELECT 'attempt.question' AS relation, question AS key, count(*) AS n FROM attempts WHERE question NOT IN (SELECT id FROM questions WHERE id % 50 <> 3) GROUP BY ALL
+        CTE + f", {REACHED} " + """SELECT 'attempt.question' AS relation, question AS key, count(*) AS n FROM attempts WHERE question NOT IN (SELECT id FROM questions WHERE id % 50 <> 3) GROUP BY ALL
            UNION ALL SELECT 'question.src_collection', src_collection, count(*) FROM questions WHERE src_collection NOT IN (SELECT id FROM collections WHERE id <> 4) GROUP BY ALL
            UNION ALL SELECT 'attempt.player', player, count(*) FROM attempts WHERE player NOT IN (SELECT id FROM players WHERE id % 9 <> 2) GROUP BY ALL
            UNION ALL SELECT 'question.puzzle_type', puzzle_type, count(*) FROM questions WHERE puzzle_type NOT IN (SELECT id FROM types WHERE id <> 3) GROUP BY ALL
-           UNION ALL SELECT 'snapshot.attempt', attempt, count(*) FROM snapshots WHERE attempt NOT IN (SELECT id FROM attempt_list) GROUP BY ALL""",
+           UNION ALL SELECT 'snapshot.attempt', attempt, count(*) FROM snapshots WHERE attempt NOT IN (SELECT id FROM attempt_list) GROUP BY ALL
+           UNION ALL SELECT 'achievement.player', player, count(*) FROM reached WHERE player % 2 = 0 AND player NOT IN (SELECT id FROM players WHERE id % 9 <> 2) GROUP BY ALL""",
     ),
     "unique_check": (
         lambda t: quality.unique_check(t.attempts, ["player", "question"]),
         CTE + "SELECT player, question, count(*) AS n FROM attempts GROUP BY ALL HAVING count(*) > 1",
     ),
+    # Every primary and unique key; attempts and snapshots come twice for some players and attempts.
+    "unique_keys": (
+        lambda t: quality.unique_keys([
+            ("types", t.types, ["id"]), ("collections", t.collections, ["id"]), ("players", t.players, ["id"]), ("questions", t.questions, ["id"]),
+            ("attempts", t.attempt_list.unionByName(t.attempt_list.filter("player % 11 = 1")), ["id"]), ("snapshots", t.snapshots.unionByName(t.snapshots.filter("attempt % 7 = 2")), ["id"]),
+            ("achievements", unlocked(t).unionByName(unlocked(t).filter("player % 10 = 4")), ["player", "achievement_id"]), ("finishes", t.attempts, ["player", "question", "finished_at"]),
+        ]),
+        CTE + f""", {REACHED} SELECT 'attempts' AS relation, CAST(id AS VARCHAR) AS key, CAST(2 AS BIGINT) AS n FROM attempt_list WHERE player % 11 = 1
+           UNION ALL SELECT 'snapshots', CAST(id AS VARCHAR), 2 FROM snapshots WHERE attempt % 7 = 2 UNION ALL SELECT 'achievements', player || ',' || achievement_id, 2 FROM reached WHERE player % 10 = 4
+           UNION ALL SELECT 'finishes', player || ',' || question || ',' || coalesce(strftime(finished_at, '%Y-%m-%d %H:%M:%S'), '-'), count(*) FROM attempts GROUP BY player, question, finished_at HAVING count(*) > 1""",
+    ),
     "schema_drift": (
         lambda t: boards.documents(t, "nurimaze").select("board_id", quality.key_diff(F.coalesce(F.json_object_keys("canon"), F.array().cast("array<string>")), F.array(F.lit("cells"), F.lit("grids"))).alias("d"))
         .select("board_id", F.array_join("d.only_a", ",").alias("only_a"), F.array_join("d.only_b", ",").alias("only_b")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.operators import answers, grid, quality, registry
 from loomgrid.plans import audits, contours, rooms
 from loomgrid.plans.answers import CHOCO, CHOCO_CELLS, QUERIES as ANSWERS, choco_borders
-from loomgrid.plans.boards import NONOGRAM, RUNS, cell_sql, clues
+from loomgrid.plans.boards import NONOGRAM, RING, RING_CELLS, RUNS, cell_sql, clues
 from loomgrid.sources import boards
 from loomgrid.sources.analog import Tables
 
@@ -108,10 +108,10 @@ def _shakashaka(t: Tables):
 MADE = {1: _sudoku, 2: _combo, 3: _nurimaze, 4: _double_choco, 5: _slitherlink, 6: _nonogram, 7: _masyu, 8: _pencils, 9: _nuritwin, 10: _slalom, 11: _shakashaka}
 
 
-def games(t: Tables) -> DataFrame:
+def games(t: Tables, made: dict = MADE) -> DataFrame:
     """(board_id, puzzle_type, canon, values): the boards of the single audits, each as a document and a player's map; some have a field too many."""
     out = []
-    for kind, make in MADE.items():
+    for kind, make in made.items():
         canon, values = make(OfKind(t, kind))
         text = F.to_json(F.struct(*[c for c in canon.columns if c != "board_id"]), {"ignoreNullFields": "false"})
         odd = F.concat(F.expr(f"substring({'canon'}, 1, length(canon) - 1)"), F.lit(',"z":1}'))
@@ -183,7 +183,47 @@ REGISTRY_SQL = f"""SELECT e.board_id, puzzle_type, CASE WHEN puzzle_type = 77 TH
 FROM ({EVERY}) e LEFT JOIN ({SHARES}) p USING (board_id) LEFT JOIN ({every_kind('board_id, passed', VERDICTS)}) v USING (board_id)"""
 STORED = "board_id % 10 / 10"
 
+
+def _values(kind: int) -> str:
+    """SQL for the values (board_id, layer, r, c, v) that the answers of one kind give back."""
+    def cells(rows: str, columns: str, value: str) -> str:
+        return f"WITH {cell_sql(rows, columns, value)} SELECT board_id, 'cell' AS layer, r, c, v FROM cells"
+
+    if kind == 1:
+        return cells("9", "9", f"case when (5 * r + 3 * c + board_id) % 3 = 0 then 0 else {SUDOKU_SET} end")
+    if kind == 2:
+        given = f"case when board_id % 4 = 0 and r = 0 and c = 0 then (1 + board_id) % 9 + 1 when board_id % 4 = 1 and r = 14 and c = 14 then 0 else {boards.DIGIT} end"
+        return cells("15", "15", f"case when r < 9 and c < 9 or r > 5 and c > 5 then {given} else 0 end")
+    if kind == 4:
+        return f"""WITH {cell_sql(*CHOCO, '0')} SELECT board_id, 'h' AS layer, r, c, 1 AS v FROM cells WHERE r < {CHOCO[0]} - 1
+          UNION ALL SELECT board_id, 'v', r, c, CASE WHEN board_id % 3 = 2 AND r = 0 AND c = 1 THEN 0 ELSE c % 2 END FROM cells WHERE c < {CHOCO[1]} - 1"""
+    if kind in (5, 7):
+        return f"WITH {cell_sql('4 + board_id % 4', '4 + board_id % 5', '0')}, n AS (SELECT board_id, r, c, 4 + board_id % 4 AS m, 4 + board_id % 5 AS n FROM cells), {RINGS_SQL} SELECT board_id, layer, r, c, 1 AS v FROM rings"
+    if kind == 8:
+        return f"WITH {cell_sql(*contours.PENCIL, contours.PENCIL_CELL)}, places AS ({' UNION ALL '.join(contours.layer_sql(x) for x in answers.LAYERS['pencils'])}) SELECT board_id, layer, r, c, {contours.LAYER_VALUE} AS v FROM places"
+    if kind == 10:
+        return f"WITH {cell_sql(*RING_CELLS)}, {RING} SELECT board_id, layer, r, c, v FROM edges"
+    if kind == 11:
+        return f"WITH {cell_sql(*contours.SHADED, contours.SHADED_CELL)}, {cell_sql(*contours.SHADED, contours.SHADED_STATE, 'states')} SELECT board_id, 'cell' AS layer, r, c, s.v AS v FROM cells c JOIN states s USING (board_id, r, c) WHERE c.v = -1"
+    return cells(*{3: ("5", "5", rooms.MAZE_STATE), 6: (*NONOGRAM, boards.ANSWER), 9: ("5", "5", rooms.TWIN_STATE)}[kind])
+
+
+RESTORED = " UNION ALL ".join(f"SELECT board_id, {k} AS puzzle_type, layer, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(v AS INTEGER) AS v FROM ({_values(k)}) WHERE v <> 0 AND board_id % {TURNS} = {k} AND board_id % 29 <> 3" for k in MADE)
+
+
+def visited(t: Tables) -> DataFrame:
+    """Progress of masyu boards by the documented formula."""
+    own = games(t, {7: _masyu})
+    return registry.judged_by(registry.split(own), lambda _: lambda g: registry.progress_masyu(g, documented=True), "board_id long, progress double")
+
+
+VISITED = f"""WITH {cell_sql('4 + board_id % 4', '4 + board_id % 5', '0')}, n AS (SELECT board_id, r, c, 4 + board_id % 4 AS m, 4 + board_id % 5 AS n FROM cells), {RINGS_SQL},
+  ends AS (SELECT board_id, r, c FROM rings UNION SELECT board_id, CASE layer WHEN 'v' THEN r + 1 ELSE r END, CASE layer WHEN 'h' THEN c + 1 ELSE c END FROM rings)
+  SELECT n.board_id, count(e.r) / count(*) * 100 AS progress FROM n LEFT JOIN ends e USING (board_id, r, c) WHERE n.board_id % {TURNS} = 7 AND n.board_id % 29 <> 3 GROUP BY ALL"""
+
 QUERIES = {
+    "restore_all_kinds": (lambda t: registry.restore(games(t)), RESTORED),
+    "progress_masyu_documented": (visited, VISITED),
     "rule_registry": (lambda t: registry.evaluate(games(t)), REGISTRY_SQL),
     "progress_audit_summary": (
         lambda t: registry.progress_summary(games(t).withColumn("stored", F.expr(STORED))),

@@ -78,12 +78,12 @@ def odd_questions(t: Tables) -> DataFrame:
     return t.questions.filter("difficulty >= 4").select(F.col("id").alias("question"))
 
 
-SCANNED = ("types", "collections", "players", "questions", "attempts", "attempt_list", "snapshots")
+SCANNED = ("types", "collections", "players", "questions", "attempts", "attempt_list", "snapshots", "player_achievement")
 
 QUERIES = {
     "scan_tables": (
-        lambda t: reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("name")).groupBy("name").count().withColumnRenamed("count", "n") for n in SCANNED]),
-        " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in SCANNED),
+        lambda t: reduce(DataFrame.unionByName, [(unlocked(t) if n == "player_achievement" else getattr(t, n)).select(F.lit(n).alias("name")).groupBy("name").count().withColumnRenamed("count", "n") for n in SCANNED]),
+        f", {REACHED}, player_achievement AS (SELECT * FROM reached WHERE player % 2 = 0) " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in SCANNED),
     ),
     "puzzle_view": (view, VIEW),
     "camel_columns": (
@@ -234,6 +234,10 @@ QUERIES = {
         lambda t: t.snapshots.select("id", fn.percent_round(F.col("progress")).alias("percent")),
         "SELECT id, CAST(floor(progress * 100 + 0.5) AS BIGINT) AS percent FROM snapshots",
     ),
+    "percent_text": (
+        lambda t: t.snapshots.select("id", fn.percent_text(F.col("progress") * 100).alias("percent")),
+        "SELECT id, (CAST(floor(progress * 100 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(progress * 100 * 10 + 0.5) AS BIGINT) % 10) || ' %' AS percent FROM snapshots",
+    ),
     "board_area": (
         lambda t: t.questions.select("id", fn.board_area(F.nullif("width", F.lit(7)), F.col("height")).alias("area")),
         "SELECT id, coalesce(nullif(width, 7), 0) * height AS area FROM questions",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators import ingest, stats
@@ -22,8 +25,22 @@ FROM questions JOIN ({verdict_sql('slitherlink')}) ON board_id = id"""
 
 
 def patched(t: Tables):
-    patches = t.questions.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.lit('{"title":"","difficulty":5}')).otherwise(F.concat(F.lit('{"author":"A'), "id", F.lit('","src_collection":0}'))).alias("patch"))
-    return ingest.bulk_patch(t.questions, patches)
+    """Questions of type 5 after patches of several fields, boards included; refused patches have their reason."""
+    questions = t.questions.withColumns({"puzzle_type": F.lit(5), "canon_repr": F.lit('{"cells":[[0]]}')})
+    drawn = F.concat(F.lit('{"difficulty":2,"canonRepr":'), F.when(F.col("id") % 3 == 0, '{"cells":[[0,9]]}').otherwise('{"cells":[[0,1,2],[3,-1,0]]}'), F.lit("}"))
+    text = F.when(F.col("id") % 4 == 0, F.lit('{"title":"","difficulty":5}')).when(F.col("id") % 4 == 2, F.concat(F.lit('{"author":"A'), "id", F.lit('","src_collection":0}'))).when(F.col("id") % 8 == 1, drawn).otherwise(F.lit('{"other":1}'))
+    patches = questions.filter("id % 8 <> 3").select("id", text.alias("patch"))
+    now, refused = ingest.bulk_patch(questions, patches.unionByName(patches.filter("id % 100 = 6").withColumn("id", -F.col("id"))))
+    return now.select("id", "title", "author", "difficulty", "width", "height", "src_collection", "canon_repr").join(refused, "id", "full")
+
+
+def seeded(t: Tables):
+    """Types, accounts and puzzles after they were seeded twice."""
+    folder = tables.shared_folder(t.spark, "seed")
+    dimensions = {"puzzle_types": t.types, "player_account": t.players, "puzzle_questions": t.questions.select("id", F.col("title").alias("name"))}
+    ingest.reset_and_seed({k: v.filter("id % 2 = 0") for k, v in dimensions.items()}, folder)
+    made = ingest.reset_and_seed(dimensions, folder)
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("name"), F.col("id").cast("long").alias("id"), F.col("name").alias("label")) for name, rows in made.items()])
 
 
 def deleted(t: Tables):
@@ -79,10 +96,33 @@ QUERIES = {
         lambda t: ingest.status_counts(ingest.bulk_create(candidates(t))),
         CTE + f"SELECT count(*) FILTER (reason IS NULL) AS created, count(*) FILTER (reason IS NOT NULL) AS failed FROM ({CREATED})",
     ),
+    "manifest_index": (
+        lambda t: tables.manifest_index(t.questions.select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("__MACOSX/"), "id", F.lit(".png"))).when(F.col("id") % 3 == 1, F.concat(F.lit("a/"), "id", F.lit(".PNG"))).otherwise(F.concat("id", F.lit(".webp"))).alias("path"))),
+        CTE + """, w AS (SELECT CASE WHEN id % 3 = 1 THEN 'a/' || id || '.PNG' ELSE id || '.webp' END AS path, id || CASE WHEN id % 3 = 1 THEN '.PNG' ELSE '.webp' END AS name FROM questions WHERE id % 3 > 0)
+          SELECT (row_number() OVER (ORDER BY path) - 1) || '-' || name AS id, path FROM w""",
+    ),
+    "batch_status_counts": (
+        lambda t: ingest.batch_counts(ingest.bulk_create(candidates(t)).withColumnRenamed("status", "create_status").withColumns({"status": F.element_at(F.array(*[F.lit(x) for x in ("success", "error", "parsing", "pending")]), (F.col("id") % 5 % 4 + 1).cast("int")), "checked": F.col("id") % 3 != 0})),
+        CTE + f""", i AS (SELECT id, reason, ['success', 'error', 'parsing', 'pending'][id % 5 % 4 + 1] AS status, id % 3 <> 0 AS checked FROM ({CREATED}))
+          SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'parsing') AS parsing, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (checked) AS checked,
+            count(*) FILTER (status = 'success' AND checked AND reason IS NULL) AS created, count(*) FILTER (status = 'success' AND checked AND reason IS NOT NULL) AS failed FROM i""",
+    ),
+    "ids_and_times": (
+        lambda t: ingest.started(t.attempt_list.select("player")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("formed"), F.count_distinct("created_at").alias("times")),
+        CTE + "SELECT count(*) AS n, count(*) AS ids, count(*) AS formed, CAST(1 AS BIGINT) AS times FROM attempt_list",
+    ),
+    "reset_and_seed": (
+        seeded,
+        CTE + "SELECT 'puzzle_types' AS name, CAST(id AS BIGINT) AS id, name AS label FROM types UNION ALL SELECT 'player_account', id, name FROM players UNION ALL SELECT 'puzzle_questions', id, title FROM questions",
+    ),
     "bulk_patch_puzzles": (
         patched,
-        CTE + """SELECT id, puzzle_type, CASE WHEN id % 4 <> 0 THEN title END AS title, CASE WHEN id % 4 = 2 THEN 'A' || id ELSE author END AS author,
-          CASE WHEN id % 4 = 0 THEN 5 ELSE difficulty END AS difficulty, width, height, CASE WHEN id % 4 <> 2 THEN src_collection END AS src_collection, created_at FROM questions""",
+        CTE + """, q AS (SELECT *, CASE WHEN id % 8 = 3 THEN 'none' WHEN id % 4 = 0 THEN 'title' WHEN id % 4 = 2 THEN 'author' WHEN id % 8 = 1 THEN 'board' ELSE 'nothing' END AS patch FROM questions)
+          SELECT id, CASE WHEN patch <> 'title' THEN title END AS title, CASE WHEN patch = 'author' THEN 'A' || id ELSE author END AS author,
+          CASE WHEN patch = 'title' THEN 5 WHEN patch = 'board' AND id % 3 <> 0 THEN 2 ELSE difficulty END AS difficulty, CASE WHEN patch = 'board' AND id % 3 <> 0 THEN 3 ELSE width END AS width, CASE WHEN patch = 'board' AND id % 3 <> 0 THEN 2 ELSE height END AS height,
+          CASE WHEN patch <> 'author' THEN src_collection END AS src_collection, CASE WHEN patch = 'board' AND id % 3 <> 0 THEN '{"cells":[[0,1,2],[3,-1,0]]}' ELSE '{"cells":[[0]]}' END AS canon_repr,
+          CASE WHEN patch = 'board' AND id % 3 = 0 THEN 'range:cells' WHEN patch = 'nothing' THEN 'no fields to update' END AS reason FROM q
+          UNION ALL SELECT -id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'puzzle not found' FROM questions WHERE id % 100 = 6""",
     ),
     "bulk_delete_puzzles": (
         deleted,

@@ -39,6 +39,20 @@ def read_boards(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("canon"))
 
 
+def images(files: DataFrame) -> DataFrame:
+    """(path, name) of the images of a drop, without hidden files."""
+    name = F.element_at(F.split("path", "/"), -1)
+    wanted = files.filter(~F.col("path").contains("__MACOSX/") & ~name.startswith(".") & F.lower(name).rlike(IMAGE))
+    return wanted.select("path", name.alias("name"))
+
+
+def manifest_index(files: DataFrame) -> DataFrame:
+    """(id, path): all images of a drop, numbered by path."""
+    from loomgrid.operators.numbering import numbered
+
+    return numbered(images(files), ["path"]).select(F.concat_ws("-", "k", "name").alias("id"), "path")
+
+
 def image_manifest(files: DataFrame, limit: int = MANIFEST_SIZE) -> DataFrame:
     """(id, path, truncated): images of a drop (path) without hidden files, numbered, the first ``limit``.
 
@@ -46,9 +60,7 @@ def image_manifest(files: DataFrame, limit: int = MANIFEST_SIZE) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = files.filter(~F.col("path").contains("__MACOSX/") & ~name.startswith(".") & F.lower(name).rlike(IMAGE))
-    first = wanted.select("path", name.alias("name")).orderBy("path").limit(limit + 1)
+    first = images(files).orderBy("path").limit(limit + 1)
     numbered = first.withColumn("k", F.row_number().over(Window.orderBy("path")) - 1)  # limit + 1 rows
     more = F.max("k").over(Window.partitionBy()) >= limit
     return numbered.withColumn("truncated", more).filter(F.col("k") < limit).select(F.concat_ws("-", "k", "name").alias("id"), "path", "truncated")
