@@ -23,7 +23,8 @@ large group of near copies doesn't become all its pairs.
 
 Null and empty texts have the empty set and are linked with nothing; a row
 without doc_id is linked with nothing and kept.  Rows that share a doc_id are
-one node.  Texts are read whole.  Repeated rows give repeated results; an empty
+one document with all of their texts: each text is compared on its own, and
+the classes of one document are in one component.  Texts are read whole.  Repeated rows give repeated results; an empty
 table gives an empty one; extra columns are not read.
 """
 
@@ -46,26 +47,48 @@ ESTIMATE = 0.5
 SMALL = 12
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t): rows with a hash of their text, which tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """(doc_id, n, signature, sketch): set size, hash of the whole set, its k smallest hashes."""
+    """(doc_id, t, n, signature, sketch): set size, hash of the whole set, its k smallest hashes."""
     import pyarrow as pa
 
     def run(batches):
         import xxhash
 
-        for rows in tokens.slices(tokens.batch_rows(batches), 1024):
-            sets = [shingles.shingle_set(t, words) for _, t in rows]
+        parts = (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+        rows_of = (((d, t), text) for part in parts for d, text, t in zip(*[c.to_pylist() for c in part.columns], strict=True))
+        for rows in tokens.slices(rows_of, 1024):
+            sets = [shingles.shingle_set(text, words) for _, text in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([d for d, _ in rows], pa.int64()),
+                    pa.array([d for (d, _), _ in rows], pa.int64()),
+                    pa.array([t for (_, t), _ in rows], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "signature", "sketch"],
+                names=["doc_id", "t", "n", "signature", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, signature binary, sketch array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, t long, n long, signature binary, sketch array<long>")
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): the text that stands for each class of ``nodes`` (node)."""
+    wanted = classes.select("node", F.col("doc").alias("doc_id"), "t").join(nodes.select("node").distinct(), "node", "left_semi")
+    return keyed(docs).join(wanted, ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"])
+
+
+def shared_documents(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that one doc_id has rows of, each with the first of them."""
+    several = made.groupBy("doc_id").agg(F.min("signature").alias("low"), F.max("signature").alias("high")).filter("low <> high").select("doc_id")
+    nodes = made.join(several, "doc_id", "left_semi").select("doc_id", "signature").distinct().join(classes.select("signature", "node"), "signature")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return nodes.join(first, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -86,7 +109,7 @@ def distinct_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def rare_pairs(space: Workspace, left: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def rare_pairs(space: Workspace, left: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """All pairs of ``left`` (node, n, c) across components that the exact prefix rule admits."""
     import pyarrow as pa
 
@@ -96,7 +119,7 @@ def rare_pairs(space: Workspace, left: DataFrame, docs: DataFrame, words: int, p
                 [pa.array([k for k, _ in rows], pa.int64()), pa.array([shingles.shingle_set(t, words) for _, t in rows], pa.list_(pa.int64()))], names=["node", "shingles"]
             )
 
-    own = docs.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    own = texts_of(docs, classes, left)
     each = space.table(own.mapInArrow(run, "node long, shingles array<long>").select("node", F.explode("shingles").alias("s")), "left-shingles")
     often = each.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     met = space.table(each.join(often, "s"), "left-met")
@@ -126,12 +149,12 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     return both.filter(union >= ESTIMATE).select("a", "b")
 
 
-def verified(space: Workspace, pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """``pairs`` (a, b) that are links on the full sets of their texts; docs: (node, text)."""
+def verified(space: Workspace, pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """``pairs`` (a, b) of classes that are links on the full sets of their texts."""
     import pyarrow as pa
 
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = space.table(docs.join(ids, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    texts = space.table(texts_of(docs, classes, ids), f"{name}-texts")
     sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
 
@@ -167,8 +190,8 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     space = space or Workspace(spark, "near-dedup")
     made = space.table(sketches(docs, words), "sketches")
     known = made.filter("n > 0 and doc_id is not null")
-    classes = space.table(known.groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    first_of = known.groupBy("signature").agg(F.min(F.struct("doc_id", "t")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = space.table(first_of.select("signature", F.monotonically_increasing_id().alias("node"), F.col("of.doc_id").alias("doc"), F.col("of.t").alias("t"), "n", "sketch"), "classes")
     # Lists of two classes or more; all others go before anything else is done with them.
     every = postings(classes)
     shared = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -180,15 +203,19 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     few = lists.filter(F.col("c") <= SMALL)
     small = few.join(few.select("key", F.col("node").alias("other"), F.col("n").alias("m")), "key").filter("node < other").select("node", "n", "other", "m")
     first = space.table(estimated(distinct_pairs(stars.unionByName(small), percent), classes), "pairs-1")
-    links = space.table(verified(space, first, texts, words, percent, "turn-1"), "links-1")
+    links = space.table(verified(space, first, docs, classes, words, percent, "turn-1").unionByName(shared_documents(known, classes)), "links-1")
     labels = components(space, links, "components-1")
     labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     left = space.table(labelled.join(several, "key", "left_semi").select("node", "n", "c").distinct(), "left")
-    second = space.table(estimated(rare_pairs(space, left, texts, words, percent), classes), "pairs-2")
-    links = links.unionByName(space.table(verified(space, second, texts, words, percent, "turn-2"), "links-2"))
+    second = space.table(estimated(rare_pairs(space, left, docs, classes, words, percent), classes), "pairs-2")
+    links = links.unionByName(space.table(verified(space, second, docs, classes, words, percent, "turn-2"), "links-2"))
     final = components(space, links, "components-last")
-    labelled = classes.join(final, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
+    joined = classes.select("signature", "node", "doc").join(final, "node", "left")
+    lone = joined.filter("component is null").select("signature", F.col("doc").alias("component_id"))
+    grouped = joined.filter("component is not null")
+    lowest = grouped.groupBy("component").agg(F.min("doc").alias("component_id"))
+    labelled = lone.unionByName(grouped.join(lowest, "component").select("signature", "component_id"))
     return made.join(labelled, "signature", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -290,3 +290,24 @@ def test_witnesses_grow_as_siblings_arrive():
     root = stack.root()
     lefts, rights = merkle.witness(nodes[4])
     assert (lefts, rights) == (["0123", ""], ["567", h("8")]) and merkle.fold("4", lefts, rights) == root == h(h("01234567") + h("8"))
+
+
+# 3: all texts of a document
+
+
+def test_every_text_of_a_document_is_compared(spark):
+    """Documents with two texts: what is near either of them is in their component, and texts that documents share join these."""
+    from loomgrid.llm import near_dedup
+
+    rng, rows, want = random.Random(6), [], {}
+    words = lambda: [f"v{rng.randrange(10**6)}" for _ in range(80)]
+    for g in range(40):
+        a, b, c = words(), words(), words()
+        near = lambda x: " ".join([*x[:40], "other", *x[41:]])
+        k = 10 * g
+        rows += [(k + 1, " ".join(a)), (k + 1, " ".join(b)), (k + 2, near(a)), (k + 3, near(b)), (k + 4, " ".join(c)), (k + 5, near(c)), (k + 5, " ".join(words())), (k + 6, " ".join(words())), (k + 6, None)]
+        want |= {k + 1: k + 1, k + 2: k + 1, k + 3: k + 1, k + 4: k + 4, k + 5: k + 4, k + 6: k + 6}
+    rng.shuffle(rows)
+    got = near_dedup.link(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == set(want.items())
