@@ -311,3 +311,47 @@ def test_every_text_of_a_document_is_compared(spark):
     got = near_dedup.link(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
     assert len(got) == len(rows)
     assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == set(want.items())
+
+
+# 1: text that isn't to be lost, and what is to go
+
+
+SIX = "".join(f"<p>Paragraph {k}, with a good many words in it, and marks. It goes on, and on.</p>" for k in range(6))
+SAID = [f"Paragraph {k}, with a good many words in it, and marks. It goes on, and on." for k in range(6)]
+PAGES = {
+    "title and byline beside the text": (f"<div class=page><h1>Title here</h1><p class=by>By X</p><div class=body>{SIX}</div></div>", ["Title here", "By X"]),
+    "title in the header of a post": (f"<div class=post><header><h1>Head of it</h1></header><div class=body>{SIX}</div></div>", ["Head of it"]),
+    "but not that of the site": (f"<header><h1>Site</h1></header><div class=post><header><h2>Head of it</h2></header>{SIX}</div>", ["Head of it"]),
+    "nor one beside a menu": (f"<div id=wrap><header><h1>Site</h1></header><nav><a>x</a></nav><div>{SIX}</div></div>", []),
+    "all of it in a form": (f"<form action=x><h1>T</h1>{SIX}<label>Mail</label><input><button>Go</button></form>", ["T"]),
+    "a form beside it": (f"<div>{SIX}</div><form><p>Write, to us. Do it, now.</p><input></form>", []),
+    "linked references": (f"<article>{SIX}<ul><li><a href=x>Some title of a paper, by A</a></li><li><a href=y>Other title, of a book</a></li></ul></article>", ["Some title of a paper, by A", "Other title, of a book"]),
+    "short links": (f"<article>{SIX}<ul><li><a href=x>Home</a></li><li><a href=y>News today</a></li></ul></article>", []),
+    "names that only look like furniture": (f"<article>{SIX}<p class=related-work>Related work, of it.</p><p class=share-price>The price, of a share.</p><div class=discussion><p>We discuss it, here.</p></div></article>", ["Related work, of it.", "The price, of a share.", "We discuss it, here."]),
+    "names that say so": (f"<article>{SIX}<p class=related-posts>More, of it.</p><p class='share'>Share it, now.</p><p class=comments>Nice, really.</p></article><div class=discussion><p>I think, so. Yes.</p></div>", []),
+    "buttons and labels in a sentence": (f"<article>{SIX}<p>Press the <button>OK</button> key, then <label>go</label> on.</p></article>", ["Press the OK key, then go on."]),
+    "buttons elsewhere": (f"<article>{SIX}<div><button>Like, it. Now.</button></div></article>", []),
+    "a teaser after the article": (f"<article>{SIX}</article><article class=teaser><h2>Other</h2><p>Read, this too. Now.</p></article>", []),
+    "the count of comments": (f"<article>{SIX}<section><h3>3 replies</h3></section></article>", []),
+    "a heading about comments": (f"<article>{SIX}<h3>Comments on the method</h3></article>", ["Comments on the method"]),
+}
+
+
+@pytest.mark.parametrize("name", list(PAGES))
+def test_extraction_loses_no_text(name):
+    from loomgrid.llm import html_extraction
+
+    page, more = PAGES[name]
+    got = html_extraction.extract(f"<html><body>{page}</body></html>").split("\n\n")
+    assert [x for x in got if x not in SAID] == more and [x for x in got if x in SAID] == SAID
+
+
+@pytest.mark.parametrize("junk", ["<header><h1>x</h1>" * 20_000 + "<p>a, b. " * 3, "<div><header><h2>x, y.</h2></header>" * 20_000, "<h1>a</h1>" * 50_000 + "<div>b, c.</div>" * 2, "<form>" * 20_000 + "x, y. " * 100, "<label>" * 20_000 + "x"])
+def test_extraction_of_many_headers_takes_time_in_proportion(junk):
+    from time import monotonic
+
+    from loomgrid.llm import html_extraction
+
+    begin = monotonic()
+    html_extraction.extract(junk)
+    assert monotonic() - begin < 20
