@@ -7,9 +7,10 @@ through a mel filterbank, and frames are grouped to segments by the hysteresis
 of their energy: a segment begins above the upper threshold and lasts while
 frames stay above the lower one.
 
-Frames are given as fixed-shape Arrow tensors (``PATCH`` frames by ``MELS``
-bands, the last patch padded with the floor), one Arrow stream per recording
-with the time span of each patch, in a binary column of ``analyse``.  A task
+Frames are stored as fixed-shape Arrow tensors of 16-bit floats (``PATCH``
+frames by ``MELS`` bands, the last patch padded with the floor), one Arrow
+stream per recording with the time span of each patch, in a binary column of
+the features' table, which is read back.  A task
 holds one recording at a time as a whole, with its samples as 32-bit floats,
 its resampled signal and its frames: about 10 bytes for a byte of text, and the
 spectra of 1024 frames.
@@ -147,7 +148,7 @@ def tensors(mel: np.ndarray):
     ms = 1000 * HOP / TARGET
     return pa.RecordBatch.from_arrays(
         [
-            pa.FixedShapeTensorArray.from_numpy_ndarray(padded.reshape(patches, PATCH, MELS)),
+            pa.FixedShapeTensorArray.from_numpy_ndarray(padded.reshape(patches, PATCH, MELS).astype(np.float16)),
             pa.array(np.rint(starts * ms), pa.int64()),
             pa.array(np.rint((ends - 1) * ms + 1000 * FRAME / TARGET), pa.int64()),
         ],
@@ -212,5 +213,17 @@ def analyse(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
 
 
 def store_and_analyse(spark: SparkSession, docs: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Write all recordings as a media table and compute features from what is read back."""
-    return analyse(Workspace(spark, "audio").table(store(docs), "media"), with_tensors)
+    """Write all recordings as a media table, and the features of what is read back as another one, which is the result."""
+    space = Workspace(spark, "audio")
+    made = space.table(analyse(space.table(store(docs), "media"), with_tensors), "features")
+    space.drop("media")
+    return made
+
+
+def tensors_of(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(patches, (start, end) in milliseconds) of one recording's stored tensors."""
+    import pyarrow as pa
+
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    patches = table["log_mel"].combine_chunks().to_numpy_ndarray()
+    return patches, np.stack([table[c].to_numpy() for c in ("start_ms", "end_ms")], axis=1)
