@@ -133,12 +133,14 @@ def write(spark: SparkSession, docs: DataFrame, path: str, shards: int = 40) ->
     Rows of one text and doc_id are interchangeable and take one of their places each.
     """
     space = Workspace(spark, "sharding")
-    alike = Window.partitionBy("h", "d").orderBy(F.lit(0))
+    alike = Window.partitionBy("h", "d").orderBy("shard", "slot")
     spots = places(space, docs, shards).withColumn("alike", F.row_number().over(alike)).select("h", "d", "alike", "shard", "slot")
     kept = docs.drop("shard", "slot")
     inner = {c: f"own_{k}" for k, c in enumerate(kept.columns)}  # names of the join can't clash
+    # In the order of all they hold, so that a task that runs again numbers them the same.
+    own = Window.partitionBy("h", "d").orderBy(F.to_json(F.struct(*inner.values())))
     renamed = kept.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
-    keyed = renamed.withColumns({"h": F.xxhash64(F.coalesce(F.col(inner["text"]), F.lit(""))), "d": F.coalesce(F.col(inner["doc_id"]).cast("long"), F.lit(-(2**63)))}).withColumn("alike", F.row_number().over(alike))
+    keyed = renamed.withColumns({"h": F.xxhash64(F.coalesce(F.col(inner["text"]), F.lit(""))), "d": F.coalesce(F.col(inner["doc_id"]).cast("long"), F.lit(-(2**63)))}).withColumn("alike", F.row_number().over(own))
     joined = keyed.join(spots, ["h", "d", "alike"]).select(*[F.col(n).alias(c) for c, n in inner.items()], "shard", "slot")
     joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     space.drop(*space.tables)
