@@ -33,6 +33,8 @@ from loomgrid.llm.shared import Workspace, lookup
 
 #: Rows that one (length, salt) group has on average at most.
 GROUP_ROWS = 500
+#: Groups that are summed up before the sums are.
+COARSE = 1000
 
 
 class Slot(NamedTuple):
@@ -148,8 +150,12 @@ def ranked(cut_pieces: DataFrame, histogram: dict[int, int], capacity: int) -> D
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), lookup(salts, F.col("length").cast("int")))
     salted = cut_pieces.withColumn("salt", salt)
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Sums of groups in two levels, so that the groups of a length that very many pieces share are no single task either.
+    groups = groups.withColumn("thousand", F.floor(F.col("salt") / COARSE))
+    outer = Window.partitionBy("length").orderBy("thousand").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("length", "thousand").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = groups.groupBy("length", "thousand").agg(F.sum("n").alias("n")).select("length", "thousand", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
+    starts = groups.join(coarse, ["length", "thousand"]).select("length", "salt", (F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("first"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     return salted.withColumn("nth", F.row_number().over(inside)).join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("nth") - 1).drop("salt", "nth", "first")
 

@@ -355,3 +355,86 @@ def test_extraction_of_many_headers_takes_time_in_proportion(junk):
     begin = monotonic()
     html_extraction.extract(junk)
     assert monotonic() - begin < 20
+
+
+# 5, 8, 9, 10: stored tensors, seating that can be repeated, numbers of alike rows, ranks in two levels
+
+
+def test_tensors_are_stored_and_read_back(spark):
+    from loomgrid.llm import audio_features as audio
+
+    texts = ["short", "A tone, or so. " * 900, None]
+    rows = audio.store_and_analyse(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        mel, _ = audio.features(audio.to_wave(audio.payload_of(texts[r.doc_id])[0]))
+        patches, spans = audio.tensors_of(bytes(r.tensors))
+        assert patches.dtype == np.float16 and patches.shape[1:] == (audio.PATCH, audio.MELS)
+        assert np.allclose(patches.reshape(-1, audio.MELS)[: len(mel)], mel, atol=0.01)
+        assert spans[0, 0] == 0 and (spans[1:, 0] > spans[:-1, 0]).all() and len(spans) == -(-len(mel) // audio.PATCH)
+
+
+def test_feature_against_direct_transforms():
+    """Resampling by a sum over all input samples and a transform written out, on a short signal."""
+    from loomgrid.llm import audio_features as audio
+
+    rng = np.random.default_rng(1)
+    samples = rng.integers(0, 256, 576).astype(np.uint8)
+    x = (samples.astype(float) - 128) / 128
+    n = len(x) * audio.UP // audio.DOWN
+    taps = 2 * audio.TAPS * audio.UP
+    t = np.arange(taps) - (taps - 1) / 2
+    h = np.sinc(t / audio.DOWN) / audio.DOWN * np.kaiser(taps, 6.0) * audio.UP
+    out = np.zeros(n)
+    for i in range(n):  # the input with zeros between its samples, filtered, every DOWN-th value
+        for k in range(len(x)):
+            at = i * audio.DOWN - k * audio.UP + audio.TAPS * audio.UP
+            if 0 <= at < taps:
+                out[i] += x[k] * h[at]
+    assert np.allclose(audio.resample(x.astype(np.float32)), out, atol=1e-4)
+    frame = np.concatenate([out, np.zeros(audio.HOP * 2 + audio.FRAME)])
+    mel = audio.log_mel(audio.resample(x.astype(np.float32)))
+    for f in range(len(mel)):
+        part = frame[f * audio.HOP : f * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME)
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        assert np.allclose(mel[f], np.log10(np.array(power) @ audio._mel() / audio.FRAME + audio.FLOOR), atol=2e-3)
+
+
+def test_draws_follow_the_binomial_distribution():
+    from loomgrid.llm import pitman_yor
+
+    seeds = np.arange(200_000)
+    for n, p in ((1, 0.3), (4, 0.9), (30, 0.02), (60, 0.5), (500, 0.4), (100_000, 0.0003), (10, 0.0), (7, 1.0)):
+        got = pitman_yor.binomial(np.full(len(seeds), n), np.full(len(seeds), p), pitman_yor.uniform(seeds, n))
+        assert got.min() >= 0 and got.max() <= n
+        assert abs(got.mean() - n * p) < 0.02 * max(1, (n * p * (1 - p)) ** 0.5) and abs(got.std() - (n * p * (1 - p)) ** 0.5) < 0.03 * max(0.5, (n * p * (1 - p)) ** 0.5)
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    from loomgrid.llm import pitman_yor
+
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"{rng.choice('abcdefgh')}{min(int(rng.paretovariate(1)), 300)}" for _ in range(60))) for k in range(300)]
+    made, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (3, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+            made.append({r.doc_id: r.score for r in pitman_yor.score(spark, docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(abs(made[0][k] - made[1][k]) < 1e-3 for k in made[0])
+
+
+def test_ranks_in_two_levels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomgrid.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_ROWS", 5)
+    monkeypatch.setattr(packing, "COARSE", 7)
+    pieces = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 9).otherwise(F.col("id") % 8 + 1).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    seen = {}
+    for r in packing.ranked(pieces, histogram, 10).collect():
+        seen.setdefault(r.length, []).append(r["rank"])
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in histogram.items()}
