@@ -160,14 +160,14 @@ VERDICTS = {
     1: f"""WITH {cell_sql('9', '9', SOLVED)}, lines AS (SELECT board_id, 'r' || r AS line, v FROM cells UNION ALL SELECT board_id, 'c' || c, v FROM cells UNION ALL SELECT board_id, 'b' || (floor(r / 3.0) * 3 + floor(c / 3.0)), v FROM cells)
       SELECT board_id, bool_and(d = 9) AS passed FROM (SELECT board_id, line, count(DISTINCT v) FILTER (v > 0) AS d FROM lines GROUP BY ALL) GROUP BY ALL""",
     2: audits.QUERIES["audit_combo"][1],
-    3: rooms.QUERIES["audit_nurimaze"][1],
+    3: rooms.MAZE_VERDICT,
     4: rooms.QUERIES["audit_double_choco"][1],
     5: audits.QUERIES["audit_slitherlink"][1],
     6: f"""WITH {cell_sql(*NONOGRAM, boards.ANSWER)}, {RUNS}, shown AS (SELECT board_id, axis, line, runs AS given FROM lines),
       b AS (WITH {cell_sql(*NONOGRAM, boards.FILL)}, {RUNS} SELECT board_id, axis, line, runs FROM lines) SELECT board_id, bool_and(runs = given) AS passed FROM b JOIN shown USING (board_id, axis, line) GROUP BY ALL""",
     7: audits.QUERIES["audit_masyu"][1],
     8: contours.QUERIES["audit_pencils"][1],
-    9: rooms.QUERIES["audit_nuritwin"][1],
+    9: rooms.TWIN_VERDICT,
     10: rooms.QUERIES["audit_slalom"][1],
     11: contours.QUERIES["audit_shakashaka"][1],
 }

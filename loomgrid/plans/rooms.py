@@ -27,23 +27,81 @@ TWIN_STATE = f"""case when board_id % 7 = 1 and r = 4 and c = 1 then 2 when boar
 TWIN_CLUE = "case when r = 0 and c = 0 then case when board_id % 7 = 2 then 3 else 2 end when r = 2 and c = 3 then 3 when r = 4 and c = 4 then 3 else 0 end"
 
 
-def nuritwin(t: Tables):
-    every = boards.cells(t, 5, 5, TWIN_CLUE)
-    h = every.select("board_id", F.lit("h").alias("layer"), "r", "c", F.expr("int(r = 2)").alias("v"))
-    v = every.select("board_id", F.lit("v").alias("layer"), "r", "c", F.expr("int(c = 1 and r <= 2)").alias("v"))
-    return rooms.audit_nuritwin(every, h.unionByName(v), boards.cells(t, 5, 5, TWIN_STATE))
-
-
+TWIN_VERDICT = "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 6) AS passed FROM part"
 #: A maze of 5 x 5 single rooms: a comb of open cells; S top left, G at the end of the last tooth.
 MAZE = """case when r = 0 and c = 0 then 3 when r = 4 and c = 4 then case when board_id % 7 = 6 then 0 else 4 end when r = 0 and c = 3 and board_id % 7 <> 1 then 1 when r = 3 and c = 2 then case when board_id % 7 = 2 then 1 else 2 end
   when r = 2 and c = 4 and board_id % 7 = 3 then 2 else 0 end"""
 MAZE_STATE = "case when board_id % 7 = 4 and r = 1 and c = 1 then 0 when board_id % 7 = 5 and r = 0 and c = 2 then 1 when r > 0 and c % 2 = 1 then 1 else 2 end"
 
 
-def nurimaze(t: Tables):
-    every = boards.cells(t, 5, 5, MAZE)
-    borders = [every.select("board_id", F.lit(x).alias("layer"), "r", "c", F.lit(1).alias("v")) for x in "hv"]
-    return rooms.audit_nurimaze(every, borders[0].unionByName(borders[1]), boards.cells(t, 5, 5, MAZE_STATE))
+MAZE_VERDICT = "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 1) AS passed FROM part"
+
+# The 5 x 5 board of twins in its eight positions, and one cell of most boards in another state.
+_R, _C = "(case when board_id % 2 = 0 then r else 4 - r end)", "(case when floor(board_id / 2.0) % 2 = 0 then c else 4 - c end)"
+_SWAP = "floor(board_id / 4.0) % 2 = 0"
+TURNED_R, TURNED_C = f"(case when {_SWAP} then {_R} else {_C} end)", f"(case when {_SWAP} then {_C} else {_R} end)"
+TURNED_CELL = f"cast(5 * {TURNED_R} + {TURNED_C} as int)"
+TURNED_ROOM = f"(case when {TURNED_R} > 2 then 2 when {TURNED_C} > 1 then 1 else 0 end)"
+TURNED_CLUE = f"case {TURNED_CELL} when 0 then case when board_id % 11 = 2 then 3 else 2 end when 13 then 3 when 24 then 3 else 0 end"
+TURNED_STATE = f"case when board_id % 3 = 0 and {TURNED_CELL} = (board_id * 7) % 25 then (board_id * 5) % 3 when {TURNED_CELL} in {TWIN_BLACK} then 1 else 2 end"
+
+
+def turned_twins(t: Tables):
+    """Boards, borders between unlike rooms, states."""
+    rooms_ = boards.cells(t, 5, 5, TURNED_ROOM)
+    unlike = grid.neighbours(rooms_).select("board_id", F.when(F.col("nr") > F.col("r"), "h").otherwise("v").alias("layer"), "r", "c", (F.col("v") != F.col("nv")).cast("int").alias("v"))
+    return boards.cells(t, 5, 5, TURNED_CLUE), unlike, boards.cells(t, 5, 5, TURNED_STATE)
+
+
+TWINS_SQL = f"""WITH RECURSIVE {cell_sql('5', '5', TURNED_ROOM, 'rooms')}, {cell_sql('5', '5', TURNED_CLUE, 'clues')}, {cell_sql('5', '5', TURNED_STATE, 'states')},
+g AS (SELECT board_id, r, c, 8 * r + c AS x, o.v AS room, k.v AS clue, s.v AS s FROM rooms o JOIN clues k USING (board_id, r, c) JOIN states s USING (board_id, r, c)),
+near AS (SELECT a.board_id, a.x, b.x AS y, a.room = b.room AS same FROM g a JOIN g b ON b.board_id = a.board_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.s = 1 AND b.s = 1),
+whole AS (SELECT board_id, x, x AS y FROM g WHERE s = 1 UNION SELECT w.board_id, w.x, n.y FROM whole w JOIN near n ON n.board_id = w.board_id AND n.x = w.y),
+inside AS (SELECT board_id, x, x AS y FROM g WHERE s = 1 UNION SELECT w.board_id, w.x, n.y FROM inside w JOIN near n ON n.board_id = w.board_id AND n.x = w.y WHERE n.same),
+parts AS (SELECT board_id, count(DISTINCT low) AS n FROM (SELECT board_id, x, min(y) AS low FROM whole GROUP BY ALL) GROUP BY ALL),
+pieces AS (SELECT i.board_id, g.room, low, count(*) AS n FROM (SELECT board_id, x, min(y) AS low FROM inside GROUP BY ALL) i JOIN g ON g.board_id = i.board_id AND g.x = i.x GROUP BY ALL),
+twins AS (SELECT r.board_id, r.room, r.clue, count(p.n) AS k, min(p.n) AS low, max(p.n) AS high FROM (SELECT board_id, room, arg_max(clue, x) FILTER (clue > 0) AS clue FROM g GROUP BY ALL) r LEFT JOIN pieces p USING (board_id, room) GROUP BY ALL),
+blocks AS (SELECT a.board_id FROM g a JOIN g b ON b.board_id = a.board_id AND b.s = 1 AND b.r - a.r IN (0, 1) AND b.c - a.c IN (0, 1) WHERE a.s = 1 GROUP BY a.board_id, a.x HAVING count(*) = 4)
+SELECT p_partkey AS board_id, p_partkey NOT IN (SELECT board_id FROM g WHERE s = 0) AND p_partkey IN (SELECT board_id FROM parts WHERE n = 1) AND p_partkey NOT IN (SELECT board_id FROM blocks)
+  AND p_partkey NOT IN (SELECT board_id FROM twins WHERE k <> 2 OR low <> high OR coalesce(clue, low) <> low) AS passed FROM part"""
+
+# Mazes of several sizes: a comb of open teeth, rooms of up to three cells along them, some cells in another state.
+COMB = ("3 + board_id % 3", "5 + 2 * (board_id % 2)")
+COMB_CELL = f"""case when r = 0 and c = 0 then 3 when r = {COMB[0]} - 1 and c = {COMB[1]} - 1 then case when board_id % 17 = 6 then 0 else 4 end
+  when r = 0 and c = 1 + board_id % 3 then case when board_id % 5 = 1 then 2 else 1 end when r = 2 and c = 2 and board_id % 7 = 2 then 1 when r > 0 and c < {COMB[1]} - 1 and (7 * r + 3 * c + board_id) % 11 = 0 then 2 else 0 end"""
+_COMB_BASE = "case when r > 0 and c % 2 = 1 then 1 else 2 end"
+COMB_STATE = f"case when board_id % 13 = 5 and r = 1 and c = 1 then 0 when board_id % 4 = 0 and r = (board_id * 7) % ({COMB[0]}) and c = (board_id * 5) % ({COMB[1]}) then 3 - ({_COMB_BASE}) else {_COMB_BASE} end"
+#: No border below these cells.
+COMB_OPEN = "r > 0 and (r + c + board_id) % 3 = 0"
+
+
+def combs(t: Tables):
+    """Boards, borders, states."""
+    every = boards.cells(t, *[F.expr(x) for x in COMB], COMB_CELL)
+    h = every.select("board_id", F.lit("h").alias("layer"), "r", "c", F.when(F.expr(COMB_OPEN), 0).otherwise(1).alias("v"))
+    v = every.select("board_id", F.lit("v").alias("layer"), "r", "c", F.lit(1).alias("v"))
+    return every, h.unionByName(v), boards.cells(t, *[F.expr(x) for x in COMB], COMB_STATE)
+
+
+COMBS_SQL = f"""WITH RECURSIVE {cell_sql(*COMB, COMB_CELL)}, {cell_sql(*COMB, COMB_STATE, 'states')},
+c0 AS (SELECT board_id, r, c, 16 * r + c AS x, cells.v AS v, s.v AS s FROM cells JOIN states s USING (board_id, r, c)),
+down AS (SELECT a.board_id, a.x, a.x + 16 AS y FROM c0 a JOIN c0 b ON b.board_id = a.board_id AND b.x = a.x + 16 WHERE a.r > 0 AND (a.r + a.c + a.board_id) % 3 = 0),
+ways AS (SELECT * FROM down UNION ALL SELECT board_id, y, x FROM down),
+reach AS (SELECT board_id, x, x AS y FROM c0 UNION SELECT e.board_id, e.x, w.y FROM reach e JOIN ways w ON w.board_id = e.board_id AND w.x = e.y),
+rooms AS (SELECT e.board_id, e.x, max(s) AS state FROM reach e JOIN c0 ON c0.board_id = e.board_id AND c0.x = e.y GROUP BY ALL),
+g AS (SELECT board_id, r, c, x, v, state, state <> 1 AS free FROM c0 JOIN rooms USING (board_id, x)),
+blocks AS (SELECT a.board_id FROM g a JOIN g b ON b.board_id = a.board_id AND b.free = a.free AND b.r - a.r IN (0, 1) AND b.c - a.c IN (0, 1) GROUP BY a.board_id, a.x HAVING count(*) = 4),
+steps AS (SELECT a.board_id, a.x, b.x AS y, CASE b.x - a.x WHEN -16 THEN '0' WHEN 16 THEN '1' WHEN -1 THEN '2' ELSE '3' END AS turn FROM g a JOIN g b ON b.board_id = a.board_id AND b.free AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+one AS (SELECT board_id, min(x) AS y FROM g WHERE free GROUP BY ALL UNION SELECT o.board_id, w.y FROM one o JOIN steps w ON w.board_id = o.board_id AND w.x = o.y),
+lone AS (SELECT board_id FROM g WHERE free AND (board_id, x) NOT IN (SELECT (board_id, y) FROM one)),
+far AS (SELECT board_id, x, 0 AS d FROM g WHERE v = 3 UNION SELECT f.board_id, w.y, d + 1 FROM far f JOIN steps w ON w.board_id = f.board_id AND w.x = f.x WHERE d < 60),
+dist AS (SELECT board_id, x, min(d) AS d FROM far GROUP BY ALL),
+walk AS (SELECT board_id, x, 0 AS d, '' AS turns, [x] AS xs FROM g WHERE v = 3
+  UNION ALL SELECT w.board_id, m.y, w.d + 1, min(w.turns || m.turn), arg_min(list_append(w.xs, m.y), w.turns || m.turn) FROM walk w JOIN steps m ON m.board_id = w.board_id AND m.x = w.x JOIN dist t ON t.board_id = m.board_id AND t.x = m.y AND t.d = w.d + 1 GROUP BY w.board_id, m.y, w.d + 1),
+won AS (SELECT w.board_id, w.xs FROM walk w JOIN g ON g.board_id = w.board_id AND g.x = w.x AND g.v = 4),
+signs AS (SELECT g.board_id FROM g JOIN won USING (board_id) WHERE v = 1 AND NOT list_contains(xs, x) OR v = 2 AND list_contains(xs, x))
+SELECT p_partkey AS board_id, p_partkey NOT IN (SELECT board_id FROM g WHERE state = 0) AND p_partkey NOT IN (SELECT board_id FROM blocks) AND p_partkey NOT IN (SELECT board_id FROM lone)
+  AND p_partkey IN (SELECT board_id FROM won) AND p_partkey NOT IN (SELECT board_id FROM signs) AS passed FROM part"""
 
 
 #: A wall on the way for some boards.
@@ -121,8 +179,8 @@ SELECT board_id, axis, CAST(line AS INTEGER) AS line, status, CAST(CASE status W
 QUERIES = {
     "nonogram_line_status": (lambda t: lines.nonogram_line_status(played(t)).drop("clue", "cells"), LINES_SQL),
     "audit_double_choco": (double_choco, "SELECT p_partkey AS board_id, p_partkey % 3 = 0 AND p_partkey % 5 <> 4 AS passed FROM part"),
-    "audit_nuritwin": (nuritwin, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 6) AS passed FROM part"),
-    "audit_nurimaze": (nurimaze, "SELECT p_partkey AS board_id, p_partkey % 7 IN (0, 1) AS passed FROM part"),
+    "audit_nuritwin": (lambda t: rooms.audit_nuritwin(*turned_twins(t)), TWINS_SQL),
+    "audit_nurimaze": (lambda t: rooms.audit_nurimaze(*combs(t)), COMBS_SQL),
     "audit_slalom": (lambda t: rooms.audit_slalom(*slalom_tables(t), boards.ring(t)), "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 1) AS passed FROM part"),
     "infer_gates": (
         lambda t: rooms.infer_gates(typed(t)),
