@@ -67,16 +67,43 @@ p2 AS (SELECT * REPLACE (CASE WHEN a = 0 THEN coalesce(c, a) ELSE a END AS a, CA
 p3 AS (SELECT * REPLACE (CASE WHEN b = 0 THEN coalesce(c, b) ELSE b END AS b, CASE WHEN c = 0 THEN coalesce(b, c) ELSE c END AS c), b <> c AND b > 0 AND c > 0 AS m3 FROM p2)"""
 
 
+#: Drawn edges of the border ring and the small ring of n (board_id, r, c, m, n).
+RINGS_SQL = """rings AS (
+  SELECT board_id, 'h' AS layer, r, c FROM n WHERE c < n - 1 AND ((r = 0 OR r = m - 1) AND NOT (board_id % 3 = 0 AND r = 0 AND c = 0) OR board_id % 5 = 0 AND m > 4 AND n > 4 AND c = 1 AND r IN (1, 2))
+  UNION ALL SELECT board_id, 'v', r, c FROM n WHERE r < m - 1 AND (c = 0 OR c = n - 1 OR board_id % 5 = 0 AND m > 4 AND n > 4 AND r = 1 AND c IN (1, 2)))"""
+#: The rings' places, the ways between them, how many leave each place, in which directions, and the pieces that they make.
+LOOPS_SQL = f"""{cell_sql('4 + board_id % 4', '4 + board_id % 5', '0')}, n AS (SELECT board_id, r, c, 4 + board_id % 4 AS m, 4 + board_id % 5 AS n FROM cells), {RINGS_SQL},
+ways AS (SELECT board_id, 32 * r + c AS x, CASE layer WHEN 'h' THEN 32 * r + c + 1 ELSE 32 * r + c + 32 END AS y FROM rings), both_ways AS (SELECT * FROM ways UNION ALL SELECT board_id, y, x FROM ways),
+places AS (SELECT board_id, x, count(*) AS d, max(y - x) + min(y - x) = 0 AS straight FROM both_ways GROUP BY ALL),
+reach AS (SELECT board_id, x, x AS y FROM places UNION SELECT e.board_id, e.x, w.y FROM reach e JOIN both_ways w ON w.board_id = e.board_id AND w.x = e.y),
+loops AS (SELECT board_id, count(DISTINCT low) AS pieces FROM (SELECT board_id, x, min(y) AS low FROM reach GROUP BY ALL) GROUP BY ALL)"""
+LOOP_OK = "p_partkey IN (SELECT board_id FROM loops WHERE pieces = 1) AND p_partkey NOT IN (SELECT board_id FROM places WHERE d <> 2)"
+COMBO_SHOWN = f"case when board_id % 4 = 0 and r = 0 and c = 0 then (1 + board_id) % 9 + 1 when board_id % 4 = 1 and r = 14 and c = 14 then 0 else {boards.DIGIT} end"
+
 QUERIES = {
-    "audit_combo": (lambda t: audit.audit_combo(solved_combo(t)), "SELECT p_partkey AS board_id, p_partkey % 4 > 1 AS passed FROM part"),
+    "audit_combo": (
+        lambda t: audit.audit_combo(solved_combo(t)),
+        f"""WITH {cell_sql('15', '15', COMBO_SHOWN)}, part_cells AS (SELECT board_id, k, r - 6 * k AS r, c - 6 * k AS c, v FROM cells, range(2) x(k) WHERE r - 6 * k BETWEEN 0 AND 8 AND c - 6 * k BETWEEN 0 AND 8),
+           lines AS (SELECT board_id, k, v, unnest(['r' || r, 'c' || c, 'b' || (r // 3 * 3 + c // 3)]) AS line FROM part_cells)
+           SELECT board_id, bool_and(d = 9 AND low > 0) AS passed FROM (SELECT board_id, k, line, count(DISTINCT v) AS d, min(v) AS low FROM lines GROUP BY ALL) GROUP BY ALL""",
+    ),
     "audit_slitherlink": (
         slitherlink,
-        "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND NOT (p_partkey % 5 = 0 AND 4 + p_partkey % 4 > 4 AND 4 + p_partkey % 5 > 4) AS passed FROM part",
+        f"""WITH RECURSIVE {LOOPS_SQL}, whole AS (SELECT board_id, r, c, layer FROM (SELECT board_id, r, c, 'h' AS layer, (r = 0 OR r = m - 1) AND c < n - 1 AS drawn FROM n UNION ALL SELECT board_id, r, c, 'v', (c = 0 OR c = n - 1) AND r < m - 1 FROM n) WHERE drawn
+             UNION SELECT board_id, r, c, layer FROM rings),
+           around AS (SELECT board_id, r, c, layer FROM whole UNION ALL SELECT board_id, CASE layer WHEN 'h' THEN r - 1 ELSE r END, CASE layer WHEN 'v' THEN c - 1 ELSE c END, layer || '+' FROM whole),
+           given AS (SELECT board_id, r, c, CASE WHEN (r + c) % 4 = 3 THEN -1 ELSE k END AS clue FROM (SELECT n.board_id, n.r, n.c, count(a.layer) AS k FROM n LEFT JOIN around a USING (board_id, r, c) WHERE n.r < n.m - 1 AND n.c < n.n - 1 GROUP BY n.board_id, n.r, n.c)),
+           sides AS (SELECT board_id, r, c, layer FROM rings UNION ALL SELECT board_id, CASE layer WHEN 'h' THEN r - 1 ELSE r END, CASE layer WHEN 'v' THEN c - 1 ELSE c END, layer || '+' FROM rings),
+           wrong AS (SELECT g.board_id FROM given g LEFT JOIN sides s USING (board_id, r, c) WHERE clue >= 0 GROUP BY g.board_id, g.r, g.c, clue HAVING count(s.layer) <> clue)
+           SELECT p_partkey AS board_id, {LOOP_OK} AND p_partkey NOT IN (SELECT board_id FROM wrong) AS passed FROM part""",
     ),
     "audit_masyu": (
         lambda t: audit.audit_masyu(boards.cells(t, F.expr("4 + board_id % 4"), F.expr("4 + board_id % 5"), CIRCLES), rings(t)),
-        """SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND NOT (p_partkey % 5 = 0 AND m > 4 AND n > 4) AND p_partkey % 7 NOT IN (1, 2) AND NOT (p_partkey % 7 = 3 AND n > 4) AS passed
-           FROM (SELECT p_partkey, 4 + p_partkey % 4 AS m, 4 + p_partkey % 5 AS n FROM part)""",
+        f"""WITH RECURSIVE {LOOPS_SQL}, circles AS (SELECT board_id, 32 * r + c AS x, v FROM (SELECT *, {CIRCLES} AS v FROM n) WHERE v > 0),
+           seen AS (SELECT k.board_id, k.x, k.v, any_value(p.straight) AS straight, any_value(p.d) AS d, count(*) FILTER (q.d = 2 AND NOT q.straight) AS turned, count(*) FILTER (q.d = 2 AND q.straight) AS straights
+             FROM circles k LEFT JOIN places p ON p.board_id = k.board_id AND p.x = k.x LEFT JOIN both_ways w ON w.board_id = k.board_id AND w.x = k.x LEFT JOIN places q ON q.board_id = w.board_id AND q.x = w.y GROUP BY ALL),
+           wrong AS (SELECT board_id FROM seen WHERE d IS NULL OR d <> 2 OR v = 1 AND (NOT straight OR turned = 0) OR v = 2 AND (straight OR straights < 2))
+           SELECT p_partkey AS board_id, {LOOP_OK} AND p_partkey NOT IN (SELECT board_id FROM wrong) AS passed FROM part""",
     ),
     "audit_summary": (
         lambda t: audit.audit_summary(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loomgrid.operators import answers, grid, quality, registry
 from loomgrid.plans import audits, contours, rooms
 from loomgrid.plans.answers import CHOCO, CHOCO_CELLS, QUERIES as ANSWERS, choco_borders
-from loomgrid.plans.boards import NONOGRAM, RING, RING_CELLS, RUNS, cell_sql, clues
+from loomgrid.plans.audits import RINGS_SQL
+from loomgrid.plans.boards import NONOGRAM, QUERIES as BOARDS, RING, RING_CELLS, cell_sql, clues
 from loomgrid.sources import boards
 from loomgrid.sources.analog import Tables
 
@@ -150,10 +151,6 @@ def shares(kind: int) -> str:
     return f"WITH {cell_sql(*{3: ('5', '5', rooms.MAZE_STATE), 6: (*NONOGRAM, boards.ANSWER), 9: ('5', '5', rooms.TWIN_STATE)}[kind])} {whole}"
 
 
-#: Drawn edges of the border ring and the small ring.
-RINGS_SQL = """rings AS (
-  SELECT board_id, 'h' AS layer, r, c FROM n WHERE c < n - 1 AND ((r = 0 OR r = m - 1) AND NOT (board_id % 3 = 0 AND r = 0 AND c = 0) OR board_id % 5 = 0 AND m > 4 AND n > 4 AND c = 1 AND r IN (1, 2))
-  UNION ALL SELECT board_id, 'v', r, c FROM n WHERE r < m - 1 AND (c = 0 OR c = n - 1 OR board_id % 5 = 0 AND m > 4 AND n > 4 AND r = 1 AND c IN (1, 2)))"""
 #: The verdicts of the single audits; a sudoku's answer has its hints.
 SOLVED = "case when (5 * r + 3 * c + board_id) % 3 = 0 then " + boards.DIGIT + f" else {SUDOKU_SET} end"
 VERDICTS = {
@@ -163,8 +160,7 @@ VERDICTS = {
     3: rooms.MAZE_VERDICT,
     4: rooms.QUERIES["audit_double_choco"][1],
     5: audits.QUERIES["audit_slitherlink"][1],
-    6: f"""WITH {cell_sql(*NONOGRAM, boards.ANSWER)}, {RUNS}, shown AS (SELECT board_id, axis, line, runs AS given FROM lines),
-      b AS (WITH {cell_sql(*NONOGRAM, boards.FILL)}, {RUNS} SELECT board_id, axis, line, runs FROM lines) SELECT board_id, bool_and(runs = given) AS passed FROM b JOIN shown USING (board_id, axis, line) GROUP BY ALL""",
+    6: BOARDS["audit_nonogram"][1],
     7: audits.QUERIES["audit_masyu"][1],
     8: contours.QUERIES["audit_pencils"][1],
     9: rooms.TWIN_VERDICT,
