@@ -148,8 +148,11 @@ QUERIES |= {
     ),
     "progress_double_choco": (
         lambda t: graph.progress_double_choco(boards.cells(t, F.expr(CHOCO[0]), F.expr(CHOCO[1]), CHOCO_CELLS), choco_borders(t)),
-        """SELECT p_partkey AS board_id, CASE p_partkey % 3 WHEN 1 THEN (m * n - 2) / (m * n) * 100 ELSE 100.0 END AS progress
-           FROM (SELECT p_partkey, 4 + p_partkey % 3 AS m, 4 + 2 * (p_partkey % 3) AS n FROM part)""",
+        f"""WITH RECURSIVE {cell_sql(*CHOCO, CHOCO_CELLS)}, ways AS (SELECT a.board_id, a.r, a.c, b.c AS d FROM cells a JOIN cells b ON b.board_id = a.board_id AND b.r = a.r AND abs(b.c - a.c) = 1
+             WHERE least(a.c, b.c) % 2 = 0 OR a.board_id % 3 = 2 AND a.r = 0 AND least(a.c, b.c) = 1),
+           reach AS (SELECT board_id, r, c, c AS d FROM cells UNION SELECT e.board_id, e.r, e.c, w.d FROM reach e JOIN ways w ON w.board_id = e.board_id AND w.r = e.r AND w.c = e.d),
+           rooms AS (SELECT board_id, r, c, min(d) AS room FROM reach GROUP BY ALL), counts AS (SELECT board_id, r, room, count(*) FILTER (v = 0) AS white, count(*) FILTER (v = 1) AS gray FROM cells JOIN rooms USING (board_id, r, c) GROUP BY ALL)
+           SELECT board_id, CAST(coalesce(sum(white + gray) FILTER (white = gray AND white > 0), 0) AS DOUBLE) / sum(white + gray) * 100 AS progress FROM counts GROUP BY board_id""",
     ),
     "progress_audit": (
         lambda t: answers.progress_audit(boards.boards(t).select("board_id", (F.col("board_id") % 10 / 10).alias("stored")), grid.progress_filled(boards.states(t), F.lit(True), F.col("v") != 0)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators import audit, grid
 from loomgrid.plans.answers import COMBO, gates
-from loomgrid.plans.boards import STATES, cell_sql, clues
+from loomgrid.plans.boards import QUERIES as BOARDS, STATES, cell_sql, clues
 from loomgrid.sources import boards
 from loomgrid.sources.analog import Tables
 
@@ -112,8 +112,8 @@ QUERIES = {
             ),
             grid.audit_sudoku(boards.sudoku(t)).unionByName(grid.audit_nonogram(boards.nonogram(t), clues(t)).withColumn("board_id", F.col("board_id") + 1_000_000_000)),
         ),
-        """SELECT 1 AS puzzle_type, count(*) AS finished, count(*) FILTER (p_partkey % 4 <> 0) AS confirmed, count(*) FILTER (p_partkey % 4 = 0) AS false_finishes FROM part WHERE p_partkey % 5 <> 0
-           UNION ALL SELECT 6, count(*), count(*) FILTER (p_partkey % 4 <> 1), count(*) FILTER (p_partkey % 4 = 1) FROM part""",
+        f"""SELECT 1 AS puzzle_type, count(*) AS finished, count(*) FILTER (passed) AS confirmed, count(*) FILTER (NOT passed) AS false_finishes FROM ({BOARDS['audit_sudoku'][1]}) WHERE board_id % 5 <> 0
+           UNION ALL SELECT 6, count(*), count(*) FILTER (passed), count(*) FILTER (NOT passed) FROM ({BOARDS['audit_nonogram'][1]})""",
     ),
     "gate_cell_range_join": (
         lambda t: audit.gate_cells(gates(t)).join(boards.states(t), ["board_id", "r", "c"]).select("board_id", "gate", "r", "c", "v"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators import grid, lines, rooms
 from loomgrid.plans.answers import CHOCO, CHOCO_CELLS, choco_borders
-from loomgrid.plans.boards import NONOGRAM, RUNS, cell_sql
+from loomgrid.plans.boards import NONOGRAM, RING, RUNS, cell_sql
 from loomgrid.sources import boards
 from loomgrid.sources.analog import Tables
 
@@ -176,12 +176,43 @@ told AS (SELECT *, CASE WHEN lens = clue THEN 'satisfied' WHEN n_sealed > m THEN
   WHEN longest > list_max(clue) THEN 'error' WHEN wrong OR between_ > m - front - back THEN 'error' WHEN front + back = m THEN 'satisfied' ELSE 'normal' END AS status FROM judged)
 SELECT board_id, axis, CAST(line AS INTEGER) AS line, status, CAST(CASE status WHEN 'satisfied' THEN m WHEN 'normal' THEN front ELSE 0 END AS INTEGER) AS done_front, CAST(CASE status WHEN 'normal' THEN back ELSE 0 END AS INTEGER) AS done_back FROM told"""
 
+#: Rooms by their open sides, pieces of a colour within them, and their shapes in all positions.
+CHOCO_SQL = f"""WITH RECURSIVE {cell_sql(*CHOCO, CHOCO_CELLS)}, g AS (SELECT board_id, r, c, 32 * r + c AS x, v, {CHOCO_CLUE} AS clue FROM cells),
+sides AS (SELECT a.board_id, a.x, b.x AS y, CASE WHEN b.x = a.x + 32 THEN true ELSE NOT (a.board_id % 3 = 2 AND a.r = 0 AND a.c = 1) AND a.c % 2 = 1 END AS drawn FROM g a JOIN g b ON b.board_id = a.board_id AND b.x - a.x IN (1, 32)),
+ways AS (SELECT board_id, x, y FROM sides WHERE NOT drawn UNION ALL SELECT board_id, y, x FROM sides WHERE NOT drawn),
+reach AS (SELECT board_id, x, x AS y FROM g UNION SELECT e.board_id, e.x, w.y FROM reach e JOIN ways w ON w.board_id = e.board_id AND w.x = e.y),
+rooms AS (SELECT board_id, x, min(y) AS room FROM reach GROUP BY ALL), k AS (SELECT g.*, room FROM g JOIN rooms USING (board_id, x)),
+counts AS (SELECT board_id, room, count(*) FILTER (v = 0) AS white, count(*) FILTER (v = 1) AS gray, min(clue) FILTER (clue > 0) AS low, max(clue) AS high FROM k GROUP BY ALL),
+inner_ways AS (SELECT a.board_id, a.x, b.x AS y FROM k a JOIN k b ON b.board_id = a.board_id AND b.room = a.room AND b.v = a.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+inside AS (SELECT board_id, x, x AS y FROM k UNION SELECT e.board_id, e.x, w.y FROM inside e JOIN inner_ways w ON w.board_id = e.board_id AND w.x = e.y),
+torn AS (SELECT k.board_id FROM (SELECT board_id, x, min(y) AS low FROM inside GROUP BY ALL) p JOIN k USING (board_id, x) GROUP BY k.board_id, room, v HAVING count(DISTINCT low) > 1),
+turned AS (SELECT board_id, room, v, 4 * s + 2 * a + b AS k, CASE s WHEN 0 THEN r ELSE c END * (1 - 2 * a) AS r, CASE s WHEN 0 THEN c ELSE r END * (1 - 2 * b) AS c FROM k, range(2) p(s), range(2) q(a), range(2) t(b)),
+moved AS (SELECT board_id, room, v, k, r - min(r) OVER w AS r, c - min(c) OVER w AS c FROM turned WINDOW w AS (PARTITION BY board_id, room, v, k)),
+shapes AS (SELECT board_id, room, v, min(shape) AS shape FROM (SELECT board_id, room, v, k, string_agg(r || ',' || c, ';' ORDER BY r, c) AS shape FROM moved GROUP BY ALL) GROUP BY ALL),
+unlike AS (SELECT a.board_id FROM shapes a JOIN shapes b ON b.board_id = a.board_id AND b.room = a.room AND a.v = 0 AND b.v = 1 WHERE a.shape <> b.shape),
+idle AS (SELECT s.board_id FROM sides s JOIN rooms a ON a.board_id = s.board_id AND a.x = s.x JOIN rooms b ON b.board_id = s.board_id AND b.x = s.y WHERE drawn AND a.room = b.room)
+SELECT p_partkey AS board_id, p_partkey NOT IN (SELECT board_id FROM counts WHERE white <> gray OR white = 0 OR coalesce(low, white) <> white OR high > 0 AND high <> white) AND p_partkey NOT IN (SELECT board_id FROM torn)
+  AND p_partkey NOT IN (SELECT board_id FROM unlike) AND p_partkey NOT IN (SELECT board_id FROM idle) AND p_partkey IN (SELECT board_id FROM sides WHERE drawn) AS passed FROM part"""
+
+#: The loop step by step from its start, and where it enters the gates across.
+SLALOM_SQL = f"""WITH RECURSIVE {cell_sql('4 + board_id % 4', '4 + board_id % 5', SLALOM_WALL)}, {RING.replace('grid AS', 'sized AS').replace('FROM grid', 'FROM sized')},
+one AS (SELECT board_id, 32 * r + c AS x, CASE layer WHEN 'h' THEN 32 * r + c + 1 ELSE 32 * r + c + 32 END AS y FROM edges WHERE v = 1), link AS (SELECT * FROM one UNION ALL SELECT board_id, y, x FROM one),
+degree AS (SELECT board_id, x, count(*) AS d FROM link GROUP BY ALL),
+walk AS (SELECT board_id, 1 AS n, 0 AS p, min(y) AS x FROM link WHERE x = 0 GROUP BY board_id
+  UNION ALL SELECT w.board_id, n + 1, w.x, l.y FROM walk w JOIN link l ON l.board_id = w.board_id AND l.x = w.x AND l.y <> w.p WHERE w.x <> 0),
+gates AS (SELECT p_partkey AS board_id, g, CASE g WHEN 0 THEN 2 ELSE 32 END AS x, CASE p_partkey % 4 WHEN 1 THEN 2 - g WHEN 2 THEN CASE g WHEN 1 THEN 3 ELSE 1 END ELSE g + 1 END AS number FROM part, range(2) q(g)),
+met AS (SELECT g.board_id, g.g, any_value(number) AS number, min(n) AS first FROM gates g JOIN walk w ON w.board_id = g.board_id AND w.x = g.x AND CASE g.g WHEN 0 THEN w.x % 32 <> w.p % 32 ELSE w.x // 32 <> w.p // 32 END GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY first, g) AS nth, count(*) OVER (PARTITION BY board_id) AS k FROM met),
+crossed AS (SELECT board_id FROM ranked GROUP BY board_id HAVING count(*) = 2 AND (bool_and(number = nth) OR bool_and(number = k + 1 - nth))),
+walled AS (SELECT c.board_id FROM cells c JOIN degree d ON d.board_id = c.board_id AND d.x = 32 * c.r + c.c WHERE c.v = 1)
+SELECT p_partkey AS board_id, p_partkey NOT IN (SELECT board_id FROM degree WHERE d <> 2) AND p_partkey IN (SELECT board_id FROM degree WHERE x = 0) AND p_partkey IN (SELECT board_id FROM crossed) AND p_partkey NOT IN (SELECT board_id FROM walled) AS passed FROM part"""
+
 QUERIES = {
     "nonogram_line_status": (lambda t: lines.nonogram_line_status(played(t)).drop("clue", "cells"), LINES_SQL),
-    "audit_double_choco": (double_choco, "SELECT p_partkey AS board_id, p_partkey % 3 = 0 AND p_partkey % 5 <> 4 AS passed FROM part"),
+    "audit_double_choco": (double_choco, CHOCO_SQL),
     "audit_nuritwin": (lambda t: rooms.audit_nuritwin(*turned_twins(t)), TWINS_SQL),
     "audit_nurimaze": (lambda t: rooms.audit_nurimaze(*combs(t)), COMBS_SQL),
-    "audit_slalom": (lambda t: rooms.audit_slalom(*slalom_tables(t), boards.ring(t)), "SELECT p_partkey AS board_id, p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 1) AS passed FROM part"),
+    "audit_slalom": (lambda t: rooms.audit_slalom(*slalom_tables(t), boards.ring(t)), SLALOM_SQL),
     "infer_gates": (
         lambda t: rooms.infer_gates(typed(t)),
         f"{TYPED_SQL} SELECT board_id, CAST(gate AS INTEGER) AS gate, orientation, CAST(line AS INTEGER) AS line, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM gates",
