@@ -287,6 +287,8 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, top: int = 50
         names = spark.createDataFrame(list(enumerate(own.ids)), "item long, item_id long")  # the chunk's items
         best = scored(docs, wanted, bounds, top).join(F.broadcast(names), "item")
         made.append(space.table(best.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), f"best_{chunk}"))
+        space.drop(f"wanted_{chunk}")
+    space.drop("index")
     for k, part in enumerate(made):
         empty = part if k == 0 else empty.unionByName(part)
     return empty

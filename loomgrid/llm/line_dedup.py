@@ -147,4 +147,7 @@ def apply(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines (before), n_dropped and the text that stays, of every row."""
-    return apply(docs, keep_bitmaps(Workspace(spark, "line_dedup"), docs, least))
+    space = Workspace(spark, "line_dedup")
+    made = apply(docs, keep_bitmaps(space, docs, least))
+    space.drop("occurrences")
+    return made

@@ -239,8 +239,7 @@ def manifest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for k in range(len(top) - 2, -1, -1):
         above = witnesses(space, top[k], above, f"top_above_{k}")
     above = tops.join(above.drop("subroot"), ["k", "idx"]).select(F.col("of").alias("k"), F.lit(0).cast("long").alias("idx"), "lefts", "rights", F.col("digest").alias("subroot"), "root")
-    if len(groups) == 1:  # lone leaves: a block of one each
-        return proofs(own, above)
     for k in range(len(groups) - 2, 0, -1):
         above = witnesses(space, groups[k], above, f"above_{k}")
+    space.drop("leaves", "numbered_ordered", "roots_ordered")
     return proofs(own, above)

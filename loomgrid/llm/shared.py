@@ -21,7 +21,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
-#: Removes a query's shuffle files when it is done; nothing reads those of a table that is written.
+#: Removes a query's shuffle files when it is done; a query that runs again makes them anew.  Set once for a session.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,6 +43,7 @@ class Workspace:
         self.spark, self.tables = spark, []
         self.database = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
         self.path = f"{shared_root(spark).rstrip('/')}/loomgrid/{self.database}"
+        spark.conf.set(_CLEAN, "true")
         spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}'")
 
     def _name(self, name: str) -> str:
@@ -50,12 +51,7 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read again, so that lineage ends here."""
-        before = self.spark.conf.get(_CLEAN, "false")
-        self.spark.conf.set(_CLEAN, "true")
-        try:
-            df.write.format("parquet").option("compression", "zstd").saveAsTable(self._name(name))
-        finally:
-            self.spark.conf.set(_CLEAN, before)
+        df.write.format("parquet").option("compression", "zstd").saveAsTable(self._name(name))
         self.tables.append(name)
         return self.read(name)
 
