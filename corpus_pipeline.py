@@ -5,6 +5,15 @@ Parquet, and its decisions take effect: rejected documents are gone, one
 document of each near-duplicate group stays, later occurrences of a repeated
 passage are cut from the texts, and what is left is packed into sequences.
 Near-duplicates and passages take five words and a similarity of 0.8.
+
+Null and empty texts have no words, so the first stage rejects them; rows
+without doc_id that it keeps go through the others unchanged and are packed.  Rows
+of one doc_id with equal texts are one, those with different texts stay side by
+side.  Of documents that are near each other the smallest doc_id stays.  Texts are
+read whole, whatever their length.  Columns besides those of documents stay in all
+stages but the last, and one named like a result of packing isn't read.  An empty
+table gives an empty result.  A stage's table is dropped when the next one is
+written; what the last stage reads stays with the result.
 """
 
 from __future__ import annotations
@@ -59,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = space.table(docs, f"stage-{k}")
+            if k:
+                space.drop(f"stage-{k - 1}")
     return docs
