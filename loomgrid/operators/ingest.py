@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.operators.catalog import blank_to_null, zero_to_null
@@ -123,3 +123,9 @@ def reset_and_seed(tables: dict[str, DataFrame], folder: str) -> dict[str, DataF
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{folder}/{name}")
     return {name: rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in tables.items()}
+
+
+def seed(spark: SparkSession, types: DataFrame, folder: str) -> None:
+    """The dimension tables anew: types and the first account."""
+    account = spark.createDataFrame([(1, "player", "admin")], "id int, name string, role string")
+    reset_and_seed({"puzzle_types": types, "player_account": account}, folder)
