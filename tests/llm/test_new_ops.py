@@ -425,6 +425,41 @@ def test_scores_do_not_depend_on_the_partitioning(spark):
     assert all(abs(made[0][k] - made[1][k]) < 1e-3 for k in made[0])
 
 
+def test_contexts_are_the_real_previous_words(spark):
+    """Words that end alike are contexts of their own, broadcast or not."""
+    from loomgrid.llm import pitman_yor
+
+    rng = random.Random(5)
+    follows = {"king": "alpha", "ring": "beta"}
+    rows = [(k, " ".join(f"{w} {follows[w]}" for w in rng.choices(list(follows), k=20))) for k in range(60)]
+    rows += [(1000, "king alpha"), (1001, "king beta"), (1002, "ring beta"), (1003, "ring alpha")]
+    before = pitman_yor.TOP
+    try:
+        for pitman_yor.TOP in (before, 1):
+            got = {r.doc_id: r.score for r in pitman_yor.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1
+    finally:
+        pitman_yor.TOP = before
+
+
+def test_word_keys_split_as_the_contract_does():
+    import pyarrow as pa
+
+    from loomgrid.llm import pitman_yor
+
+    texts = ["The cat", None, "", " a  b\tA ", "x\x0by\xa0z\u2003w", "ab", "b" + "q" * 70_000 + " w", "q" * 70_001, "end"]
+    keys, sizes = pitman_yor.keys_of(pa.array(texts).slice(0))
+    words = [w for t in texts for w in [*(t or "").encode().lower().split(), None]]
+    seen = {}
+    assert sizes.sum() == len(keys) == len(words)
+    assert all(seen.setdefault(w, k) == k for w, k in zip(words, keys)) and len(set(seen.values())) == len(seen)
+    again, _ = pitman_yor.keys_of(pa.array(texts).slice(3, 3))
+    assert list(again) == list(keys[sizes[:3].sum() : sizes[:6].sum()])
+    top = np.unique(keys)[::2]
+    top = np.unique(np.append(top, pitman_yor.END))
+    assert all(c == (np.searchsorted(top, k) if k in top else k) for k, c in zip(keys, pitman_yor.Codes(top).of(keys)))
+
+
 def test_ranks_in_two_levels(spark, monkeypatch):
     from pyspark.sql import functions as F
 
