@@ -494,6 +494,51 @@ def test_op6_rare_shingles_hold_one_of_every_partner():
             assert {x for x in lacks if df[list(s).index(x)] > 1} <= rare
 
 
+def test_op6_matches_what_lies_between_two_edits():
+    from loomgrid.llm import shingles
+
+    rng = np.random.default_rng(9)
+    passage = rng.integers(1, 2**31, 150)
+    other = passage.copy()
+    other[[28, 71, 115, 138, 148]] = np.arange(1, 6)
+    x, y = (shingles.window_hashes(np.asarray(w, np.uint64), 5) for w in (passage, other))
+    for found in (compact_windows.matches(x, y), [(c, d, a, b) for a, b, c, d in compact_windows.matches(y, x)]):
+        assert set(range(116, 126)) <= {i for a, b, _, _ in found for i in range(a, b)}
+        for a, b, c, d in found:
+            u, v = set(x[a:b].tolist()), set(y[c:d].tolist())
+            assert min(b - a, d - c) >= 46 and 100 * len(u & v) >= 80 * len(u | v)
+
+
+def test_op6_window_beside_a_common_passage_asks_none_of_it():
+    s, df = np.arange(150), np.ones(150, np.int64)
+    df[40:] = 2000  # a passage that very many nodes have
+    df[30:33] = 3
+    asked, _ = compact_windows.asked_shingles(s, df, np.array([31, 32]), np.zeros(2, bool))
+    assert asked.tolist() == [30, 31, 32]
+    asked, linked = compact_windows.asked_shingles(s, df, np.array([31, 100]), np.array([False, True]))
+    assert asked[~linked].tolist() == [30, 31] and linked.sum() == 6
+
+
+def test_op6_compares_few_pairs_in_a_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(17)
+    passage, rows = words(rng, 150), []
+    for k in range(200):
+        own = list(passage)
+        for e in range(6 if k else 0):
+            own[rng.randrange(150)] = f"w{k}-{e}"
+        rows.append((k, " ".join(own)))
+    pairs, verified = [], compact_windows.verified
+
+    def counted(some, texts):
+        pairs.append(some.count())
+        return verified(some, texts)
+
+    monkeypatch.setattr(compact_windows, "verified", counted)
+    found = compact_windows.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in found if not r.kept}) >= 190
+    assert sum(pairs) <= 20 * len(rows), pairs
+
+
 @pytest.mark.parametrize("edits, least", [(3, 0.9), (2, 0.9), (1, 0.9)])
 def test_op6_recall_of_links_in_large_lists(spark, edits, least):
     """Near copies of passages in lists of 15 nodes: links by brute force over all pairs, and documents with an earlier near copy."""
