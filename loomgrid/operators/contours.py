@@ -1,54 +1,25 @@
-"""Audit of boards of half-filled cells: closed contours by pointer doubling, rectangles by their bounds."""
+"""Audit of boards of half-filled cells: closed contours, rectangles by their bounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators import graph
+from loomgrid.operators import boardwise, graph
 from loomgrid.operators.audit import verdict
+from loomgrid.operators.joins import kept, long
 
 PLACE = ["board_id", "r", "c"]
-#: By half-filled kind, named by its right angle (1 top left, 2 top right, 3 bottom left, 4 bottom right): the step along which a contour turns, the kind that it turns to, the step along which it goes on.
-STEPS = {1: ((0, 1), 2, (-1, 1)), 2: ((1, 0), 4, (1, 1)), 4: ((0, -1), 3, (1, -1)), 3: ((-1, 0), 1, (-1, -1))}
-#: Turns of a contour that closes around one rectangle.
-CORNERS = 4
-
-
-def successors(shades: DataFrame) -> DataFrame:
-    """(board_id, x, y, turn): the half-filled place y that follows x on its contour, clockwise; y is null where it breaks.
-
-    ``shades``: (board_id, r, c, k), k = 0 for white and 1 to 4 for half-filled places.  A contour
-    turns where the next kind stands beside it, and goes on diagonally past a white place.
-    No place follows two others, so contours are paths or rings.
-    """
-    halves = shades.filter("k > 0")
-    ways = F.coalesce(*[F.when(F.col("k") == k, F.struct(*[F.lit(x).alias(n) for x, n in zip((*side, after, *on), ("dr", "dc", "after", "er", "ec"), strict=True)])) for k, (side, after, on) in STEPS.items()])
-    each = halves.withColumn("w", ways).select(*PLACE, "k", "w.after", (F.col("r") + F.col("w.dr")).alias("sr"), (F.col("c") + F.col("w.dc")).alias("sc"), (F.col("r") + F.col("w.er")).alias("tr"), (F.col("c") + F.col("w.ec")).alias("tc"))
-    beside = shades.select("board_id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("k").alias("sk"))
-    ahead = shades.select("board_id", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("k").alias("tk"))
-    met = each.join(beside, ["board_id", "sr", "sc"], "left").join(ahead, ["board_id", "tr", "tc"], "left")
-    turn, on = F.col("sk") == F.col("after"), (F.col("sk") == 0) & (F.col("tk") == F.col("k"))
-    target = F.when(turn, graph.node("sr", "sc")).when(on, graph.node("tr", "tc"))
-    return met.select("board_id", graph.node().alias("x"), target.alias("y"), F.coalesce(turn, F.lit(False)).alias("turn"))
+STEPS, CORNERS = boardwise.STEPS, boardwise.CORNERS
 
 
 def closed_contours(shades: DataFrame) -> DataFrame:
-    """(board_id, x, first): places on contours that close with four turns, and the first place of each, which is its topmost.
+    """(board_id, x, first): half-filled places on contours that close with four turns, and the first place of each, which is its topmost.
 
-    Pointers double; with them each place learns the smallest place within so many steps ahead.
-    Those on an open contour run into its end, the others know their ring when the steps cover a board.
+    ``shades``: (board_id, r, c, k), k = 0 for white and 1 to 4 for half-filled places.
     """
-    graph.ensure_checkpoints(shades)
-    steps = successors(shades).checkpoint()
-    most = steps.groupBy("board_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # places of the largest board
-    state = steps.select("board_id", "x", "y", "turn", F.col("x").alias("first"))
-    for _ in range(int(most).bit_length()):
-        ahead = state.select(F.col("x").alias("y"), F.col("y").alias("y2"), F.col("first").alias("first2"))
-        state = state.join(ahead, "y", "left").select("board_id", "x", F.col("y2").alias("y"), "turn", F.least("first", "first2").alias("first")).checkpoint()
-    rings = state.filter("y is not null")
-    whole = rings.groupBy("first").agg(F.count_if("turn").alias("turns")).filter(F.col("turns") == CORNERS)
-    return rings.join(whole, "first").select("board_id", "x", "first")
+    rings = boardwise.each(graph.placed(shades).select("board_id", "x", "k"), boardwise.contours, "x long, first long")
+    return rings.select(F.shiftright("x", graph.BITS).alias("board_id"), "x", "first")
 
 
 def audit_shakashaka(cells: DataFrame, states: DataFrame) -> DataFrame:
@@ -57,16 +28,17 @@ def audit_shakashaka(cells: DataFrame, states: DataFrame) -> DataFrame:
     Cells: (board_id, r, c, v), -1 white, 0 to 4 a clue, 5 black; states: (board_id, r, c, v), 1 to 4 half-filled,
     5 marked and 0 or missing unset, which are white both.
     """
-    shown = cells.join(states.select(*PLACE, F.col("v").alias("s")), PLACE, "left").withColumn("s", F.when(F.col("s").between(1, 4), F.col("s")).otherwise(0)).checkpoint()
+    shown = cells.join(long(states.select(*PLACE, F.col("v").alias("s"))), PLACE, "left").withColumn("s", F.when(F.col("s").between(1, 4), F.col("s")).otherwise(0))
+    shown = kept(shown, "shades")
     beside = F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in ((-1, 0), (1, 0), (0, -1), (0, 1))])).alias("p")
     near = shown.filter("s > 0").select("board_id", beside).select("board_id", "p.*").groupBy(*PLACE).agg(F.count("*").alias("n"))
-    wrong = shown.filter("v between 0 and 4").join(near, PLACE, "left").filter("v <> coalesce(n, 0)")
+    wrong = shown.filter("v between 0 and 4").join(long(near), PLACE, "left").filter("v <> coalesce(n, 0)")
     shades = shown.filter("v = -1").select(*PLACE, F.col("s").alias("k"))
-    contours = closed_contours(shades).checkpoint()
-    loose = shades.filter("k > 0").select("board_id", graph.node().alias("x")).join(contours, "x", "left_anti")
+    contours = kept(closed_contours(shades), "contours")
+    loose = shades.filter("k > 0").select("board_id", graph.node().alias("x")).join(long(contours), "x", "left_anti")
     whites = graph.same_value(shades.filter("k = 0").select(*PLACE, F.lit(0).alias("v")))
     box = whites.groupBy("board_id", "component").agg(F.count("*").alias("n"), (F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("columns"))
     rows_of = lambda x: F.col(x).bitwiseAND((1 << graph.BITS) - 1)  # noqa: E731  a place without its board
     ring = contours.select("board_id", F.shiftright(rows_of("x"), 10).cast("int").alias("r"), rows_of("x").bitwiseAND(1023).cast("int").alias("c"), rows_of("first").alias("first"))
-    touched = ring.select("board_id", "first", beside).select("board_id", "first", "p.*").join(whites, PLACE).filter("first < component").select("board_id", "component").distinct()
-    return verdict(cells, wrong, loose, box.filter("n <> rows * columns").join(touched, ["board_id", "component"], "left_anti"))
+    touched = ring.select("board_id", "first", beside).select("board_id", "first", "p.*").join(long(whites), PLACE).filter("first < component").select("board_id", "component").distinct()
+    return verdict(cells, wrong, loose, box.filter("n <> rows * columns").join(long(touched), ["board_id", "component"], "left_anti"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators import graph
 from loomgrid.operators.audit import verdict
+from loomgrid.operators.joins import kept, long
 
 PLACE = ["board_id", "r", "c"]
 #: By a head's value (up, down, left, right): the step to its body, and the wall between them as (layer, step to the cell that carries it).
@@ -16,7 +17,7 @@ HEADS = {-1: ((1, 0), "h", (0, 0)), -2: ((-1, 0), "h", (-1, 0)), -3: ((0, 1), "v
 def heads_of(cells: DataFrame, layers: DataFrame) -> DataFrame:
     """(board_id, r, c, d): a board's own heads, and the player's where it has none."""
     drawn = layers.filter("layer = 'hd'").select(*PLACE, F.col("v").alias("hd"))
-    return cells.join(drawn, PLACE, "left").select(*PLACE, F.when(F.col("v") < 0, F.col("v")).otherwise(F.col("hd")).alias("d")).filter("d < 0")
+    return cells.join(long(drawn), PLACE, "left").select(*PLACE, F.when(F.col("v") < 0, F.col("v")).otherwise(F.col("hd")).alias("d")).filter("d < 0")
 
 
 def by_head(column: int):
@@ -50,32 +51,31 @@ def audit_pencils(cells: DataFrame, layers: DataFrame) -> DataFrame:
     If both neighbours are in one arm it comes back to the head, and is followed from the one on the left, or
     else the right, above, below.  Heads that share an arm claim it twice.
     """
-    graph.ensure_checkpoints(cells)
-    heads = heads_of(cells, layers).checkpoint()
-    links = trail_links(layers).checkpoint()
+    heads = kept(heads_of(cells, layers), "heads")
+    links = kept(trail_links(layers), "links")
     # Bodies.
-    rooms = graph.rooms(cells, walls(heads, layers)).withColumnRenamed("component", "room").checkpoint()
+    rooms = kept(graph.rooms(cells, walls(heads, layers)).withColumnRenamed("component", "room"), "rooms")
     dr, dc = by_head(0)
-    at = heads.select("board_id", F.col("r").alias("hr"), F.col("c").alias("hc"), (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")).join(rooms, PLACE, "left").select("board_id", "hr", "hc", "room")
-    clue = rooms.join(cells, PLACE).join(heads.select(*PLACE, F.lit(True).alias("head")), PLACE, "left")
+    at = heads.select("board_id", F.col("r").alias("hr"), F.col("c").alias("hc"), (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")).join(long(rooms), PLACE, "left").select("board_id", "hr", "hc", "room")
+    clue = rooms.join(long(cells), PLACE).join(long(heads.select(*PLACE, F.lit(True).alias("head"))), PLACE, "left")
     box = clue.groupBy("board_id", "room").agg(
         F.count("*").alias("n"), ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)).alias("area"), F.count("head").alias("heads"), F.min(F.when(F.col("v") > 0, F.col("v"))).alias("low"), F.max("v").alias("high")
     )
-    bodies = at.join(box, ["board_id", "room"], "left")
+    bodies = at.join(long(box), ["board_id", "room"], "left")
     # Arms, and the links between places that are no heads.
-    inner = links.join(heads.select(*PLACE), PLACE, "left_anti").join(heads.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["board_id", "nr", "nc"], "left_anti")
-    places = links.select("board_id", F.col("nr").alias("r"), F.col("nc").alias("c")).distinct().join(heads.select(*PLACE), PLACE, "left_anti")
+    inner = links.join(long(heads.select(*PLACE)), PLACE, "left_anti").join(long(heads.select("board_id", F.col("r").alias("nr"), F.col("c").alias("nc"))), ["board_id", "nr", "nc"], "left_anti")
+    places = links.select("board_id", F.col("nr").alias("r"), F.col("nc").alias("c")).distinct().join(long(heads.select(*PLACE)), PLACE, "left_anti")
     degree = inner.groupBy(*PLACE).agg(F.count("*").alias("d"))
-    arms = graph.connected_components(places, inner).withColumnRenamed("component", "arm").join(degree, PLACE, "left").withColumn("d", F.coalesce("d", F.lit(0))).checkpoint()
+    arms = kept(graph.connected_components(places, inner).withColumnRenamed("component", "arm").join(long(degree), PLACE, "left").withColumn("d", F.coalesce("d", F.lit(0))), "arms")
     sizes = arms.groupBy("board_id", "arm").agg(F.count("*").alias("size"), F.max("d").alias("most"))
-    ends = links.join(heads, PLACE).select("board_id", F.col("r").alias("hr"), F.col("c").alias("hc"), F.col("nr").alias("r"), F.col("nc").alias("c"), "way")
-    met = ends.join(arms, PLACE, "left").select("board_id", "hr", "hc", "way", "arm", "d")  # no arm: the neighbour is a head, too
-    followed = met.groupBy("board_id", "hr", "hc", "arm").agg(F.count("*").alias("n"), F.min_by("d", "way").alias("d")).join(sizes, ["board_id", "arm"], "left")
+    ends = links.join(long(heads), PLACE).select("board_id", F.col("r").alias("hr"), F.col("c").alias("hc"), F.col("nr").alias("r"), F.col("nc").alias("c"), "way")
+    met = ends.join(long(arms), PLACE, "left").select("board_id", "hr", "hc", "way", "arm", "d")  # no arm: the neighbour is a head, too
+    followed = met.groupBy("board_id", "hr", "hc", "arm").agg(F.count("*").alias("n"), F.min_by("d", "way").alias("d")).join(long(sizes), ["board_id", "arm"], "left")
     trails = followed.groupBy("board_id", "hr", "hc").agg(F.sum("n").alias("links"), F.sum("size").alias("length"), F.every(F.coalesce((F.col("most") <= 2) & (F.col("d") <= 1), F.lit(False))).alias("plain"))
-    both = bodies.join(trails, ["board_id", "hr", "hc"], "left")
+    both = bodies.join(long(trails), ["board_id", "hr", "hc"], "left")
     fits = "n = area and heads = 0 and links <= 2 and plain and length = n and coalesce(low, n) = n and (high <= 0 or high = n)"
     bad = both.filter(f"not coalesce({fits}, false)")
     # Claims.
-    claimed = heads.select(*PLACE).unionByName(rooms.join(at, ["board_id", "room"]).select(*PLACE)).unionByName(arms.join(followed.select("board_id", "arm"), ["board_id", "arm"]).select(*PLACE))
-    count = cells.select(*PLACE).join(claimed.groupBy(*PLACE).agg(F.count("*").alias("n")), PLACE, "left").filter("n is null or n <> 1")
+    claimed = heads.select(*PLACE).unionByName(rooms.join(long(at), ["board_id", "room"]).select(*PLACE)).unionByName(arms.join(long(followed.select("board_id", "arm")), ["board_id", "arm"]).select(*PLACE))
+    count = cells.select(*PLACE).join(long(claimed.groupBy(*PLACE).agg(F.count("*").alias("n"))), PLACE, "left").filter("n is null or n <> 1")
     return verdict(cells, bad, count)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators import answers, grid, quality, registry
+from loomgrid.operators.joins import long
 from loomgrid.plans import audits, contours, rooms
 from loomgrid.plans.answers import CHOCO, CHOCO_CELLS, QUERIES as ANSWERS, choco_borders
 from loomgrid.plans.audits import RINGS_SQL
@@ -59,7 +60,7 @@ def _combo(t: Tables):
 
 def _nurimaze(t: Tables):
     every = boards.cells(t, 5, 5, rooms.MAZE)
-    return nested(every).join(one_room_each(every), "board_id"), as_cells(boards.cells(t, 5, 5, rooms.MAZE_STATE))
+    return nested(every).join(long(one_room_each(every)), "board_id"), as_cells(boards.cells(t, 5, 5, rooms.MAZE_STATE))
 
 
 def _double_choco(t: Tables):
@@ -73,7 +74,7 @@ def _slitherlink(t: Tables):
 
 def _nonogram(t: Tables):
     lists = [clues(t).filter(F.col("axis") == axis).groupBy("board_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "clue"))), lambda x: x["clue"]).alias(f"{axis}Clues")) for axis in ("row", "col")]
-    return lists[0].join(lists[1], "board_id"), as_cells(boards.nonogram(t))
+    return lists[0].join(long(lists[1]), "board_id"), as_cells(boards.nonogram(t))
 
 
 def _masyu(t: Tables):
@@ -89,8 +90,8 @@ def _nuritwin(t: Tables):
     every = boards.cells(t, 5, 5, rooms.TWIN_CLUE)
     rows = [("h", "int(r = 2)", "r < 4"), ("v", "int(c = 1 and r <= 2)", "c < 4")]
     grids = [nested(every.filter(inside).select("board_id", "r", "c", F.expr(value).alias("v")), layer) for layer, value, inside in rows]
-    both = grids[0].join(grids[1], "board_id").select("board_id", F.struct("h", "v").alias("grids"))
-    return nested(every).join(both, "board_id"), as_cells(boards.cells(t, 5, 5, rooms.TWIN_STATE))
+    both = grids[0].join(long(grids[1]), "board_id").select("board_id", F.struct("h", "v").alias("grids"))
+    return nested(every).join(long(both), "board_id"), as_cells(boards.cells(t, 5, 5, rooms.TWIN_STATE))
 
 
 def _slalom(t: Tables):
@@ -98,7 +99,7 @@ def _slalom(t: Tables):
     each = F.struct(F.col("orientation"), F.col("line"), F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("number"))
     listed = gates.groupBy("board_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("gate", each.alias("g")))), lambda x: x["g"]).alias("gates"))
     start = starts.select("board_id", F.struct(F.col("r").alias("row"), F.col("c").alias("col")).alias("start"), F.lit(2).alias("gateCount"))
-    return nested(cells).join(start, "board_id").join(listed, "board_id"), boards.ring(t).filter("v <> 0")
+    return nested(cells).join(long(start), "board_id").join(long(listed), "board_id"), boards.ring(t).filter("v <> 0")
 
 
 def _shakashaka(t: Tables):
@@ -117,7 +118,7 @@ def games(t: Tables, made: dict = MADE) -> DataFrame:
         text = F.to_json(F.struct(*[c for c in canon.columns if c != "board_id"]), {"ignoreNullFields": "false"})
         odd = F.concat(F.expr(f"substring({'canon'}, 1, length(canon) - 1)"), F.lit(',"z":1}'))
         documents = canon.select("board_id", text.alias("canon")).withColumn("canon", F.when(F.col("board_id") % 29 == 3, odd).otherwise(F.col("canon")))
-        out.append(documents.join(answers.values_map(values), "board_id", "left").select("board_id", F.lit(kind).alias("puzzle_type"), "canon", F.coalesce("values", F.create_map().cast("map<string,int>")).alias("values")))
+        out.append(documents.join(long(answers.values_map(values)), "board_id", "left").select("board_id", F.lit(kind).alias("puzzle_type"), "canon", F.coalesce("values", F.create_map().cast("map<string,int>")).alias("values")))
     unknown = boards.boards(OfKind(t, 0)).select("board_id", F.lit(77).alias("puzzle_type"), F.lit("{}").alias("canon"), F.create_map().cast("map<string,int>").alias("values"))
     return reduce(DataFrame.unionByName, [*out, unknown])
 
