@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from loomgrid import plans
-from loomgrid.operators import boardwise, graph, joins
+from loomgrid.operators import boardwise, graph, grid, joins
 
 CELLS = ["audit_combo", "audit_double_choco", "extract_combo", "extract_sudoku", "extract_pencils", "extract_nonogram", "restore_values", "progress_combo", "progress_sudoku", "progress_pencils", "audit_nonogram", "audit_slitherlink", "classified_cells"]
 
@@ -64,3 +64,12 @@ def test_rows_keep_what_is_looked_up(spark):
     other = spark.createDataFrame([(1, 0, None), (2, 0, 3), (3, 0, 4)], "board_id long, r int, n int").withColumnRenamed("n", "w")
     got = sorted(map(tuple, joins.looked_up(rows, other, ["board_id", "r"]).collect()), key=str)
     assert got == [(1, 0, 5, None), (1, 0, 6, None), (1, 1, 7, None), (2, 0, 8, 3)]
+
+
+def test_sudoku_audit_counts_every_cell_once(spark):
+    good = [(r, c, (3 * r + r // 3 + c) % 9 + 1) for r in range(9) for c in range(9)]
+    boards = {1: good, 2: [*good, (0, 0, 1)], 3: [*good, (9, 0, 1)], 4: good[1:], 5: [(0, 0, 2), *good[1:]], 6: [(r, c, 0) for r, c, _ in good]}
+    cells = spark.createDataFrame([(k, *x) for k, rows in boards.items() for x in rows], "board_id long, r int, c int, v int")
+    audited = grid.audit_sudoku(cells)
+    assert {r.board_id: r.passed for r in audited.collect()} == {k: k == 1 for k in boards}
+    assert "Generate" not in audited._jdf.queryExecution().executedPlan().toString()
